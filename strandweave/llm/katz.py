@@ -22,6 +22,7 @@ The key is an integer. Null texts are empty: one end token. A null key trains. R
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,7 +163,8 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
     """What documents and pairs add up to, as PARTS: kind 0, a stretch's documents; 1, shares of them; 2, a context."""
     spark = docs.sparkSession
     at = spark.sparkContext.broadcast(model)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * partitions
     sent_kind = "bucket int, kind int, stretch long, blob binary"
     arrow = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("stretch", pa.int64()), ("blob", pa.binary())])
 
@@ -234,7 +236,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         order = np.lexsort((doc, stretch))
         stretch, doc = stretch[order], doc[order]
         new = np.flatnonzero(np.concatenate(([True], (stretch[1:] != stretch[:-1]) | (doc[1:] != doc[:-1]))))
-        sums = [np.add.reduceat(c[order], new) for c in columns]
+        sums = [np.add.reduceat(c[order], new) for c in columns]  # columns are made one at a time
         stretch, doc = stretch[new], doc[new].astype(np.int32)
         edges = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1], [True])))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -250,12 +252,14 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         new = np.concatenate(([True], key[1:] != key[:-1]))
         group = np.cumsum(new) - 1
         c = np.add.reduceat(np.maximum(times, 0), np.flatnonzero(new)).astype(np.int64)
-        v, w = (key >> _U(_BITS) & _U(2**_BITS - 1)).astype(np.int64), (key & _U(2**_BITS - 1)).astype(np.int64)
-        each, size = c[group], abs(times).astype(np.int64)
+        v, w = (key >> _U(_BITS) & _U(2**_BITS - 1)).astype(np.int32), (key & _U(2**_BITS - 1)).astype(np.int32)
+        del key, order
+        each, size = c[group].astype(np.int32), abs(times)
         unseen = each == 0
         score = np.where(each > CUT, size * np.log10(np.maximum(each - LARGE, 0.5)), 0.0)
         score[unseen] += (size * (_log(m.p[w]) + np.where(m.context[v] > 0, _log(m.context[v]), 0)))[unseen]
-        yield from shares(stretch, doc, [*(np.where(each == r, size, 0) for r in range(1, CUT + 1)), np.zeros(len(size), np.int64), score, np.zeros(len(size))])
+        counted = (np.where(each == r, size, 0).astype(np.int32) for r in range(1, CUT + 1))
+        yield from shares(stretch, doc, itertools.chain(counted, (np.zeros(len(size), t) if t else score for t in (np.int32, None, np.float64))))
         back = unseen & (m.context[v] > 0)
         for s in np.unique(stretch[back]):
             own = back & (stretch == s)
@@ -300,7 +304,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         yield from flush()
 
     sent = docs.mapInArrow(run, sent_kind)
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, PARTS)
+    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(work, PARTS)
 
 
 def backoff(parts: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:

@@ -71,8 +71,8 @@ def _ask(keys: list[np.ndarray], uid: np.ndarray, at: np.ndarray, buckets: int):
     yield from X.blobs(key, [*spare, uids, places], buckets)
 
 
-def _answer(columns: list[np.ndarray]):
-    """Of a range of keys, the places of those that occur again, by document."""
+def _answer(columns: list[np.ndarray], buckets: int):
+    """Of a range of keys, the places of those that occur again, as blobs by document."""
     *keys, uid, at = columns
     told = at <= -2
     hit_uid, hit_at = [uid[told]], [-2 - at[told]]
@@ -86,8 +86,13 @@ def _answer(columns: list[np.ndarray]):
         hit_uid.append(uid[again])
         hit_at.append(at[again])
     uids, places = np.concatenate(hit_uid), np.concatenate(hit_at).astype(np.int32)
-    if not len(uids):
-        return
+    if len(uids):
+        yield from X.blobs(mix(uids.view(_U)), [uids, places], buckets)
+
+
+def _merge(columns: list[np.ndarray]):
+    """A row per document of a range, with its places."""
+    _, uids, places = columns
     order = np.lexsort((places, uids))
     uids, places = uids[order], places[order]
     keep = np.ones(len(uids), bool)
@@ -99,6 +104,12 @@ def _answer(columns: list[np.ndarray]):
     yield pa.RecordBatch.from_arrays([pa.array(uids[first]), at_array], names=["uid", "at"])
 
 
+def _hits(asked: DataFrame) -> DataFrame:
+    """(uid, at): for each document with keys that occur again, all of their places."""
+    buckets = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(X.meet(X.meet(asked, lambda c: _answer(c, buckets), X.BLOBS), _merge, HITS))
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
     """Blobs of the anchors of (uid, text) rows."""
     buckets = X.buckets_of(docs)
@@ -126,9 +137,9 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """Blobs of the windows that hold a repeated anchor, of (uid, text, ats) rows."""
+    """Blobs of the windows that hold a repeated anchor, of (uid, text, at) rows."""
     buckets = X.buckets_of(docs)
-    text_at, ats_at, uid_at = (docs.columns.index(c) for c in ("text", "ats", "uid"))
+    text_at, ats_at, uid_at = (docs.columns.index(c) for c in ("text", "at", "uid"))
 
     def run(batches):
         held, n = [], 0
@@ -142,10 +153,10 @@ def _windows(docs: DataFrame) -> DataFrame:
             words, uid = s.word_hash(), np.asarray(batch.column(uid_at))
             wanted = np.zeros(len(words) + 1, np.int64)
             last = np.maximum(s.first[1:] - WINDOW, s.first[:-1] - 1)  # last window of each document
-            for i, ats in enumerate(batch.column(ats_at).to_pylist()):
+            for i, places in enumerate(batch.column(ats_at).to_pylist()):
                 if last[i] < s.first[i]:
                     continue
-                hit = np.frombuffer(b"".join(ats), "<i4") + int(s.first[i])
+                hit = np.frombuffer(places, "<i4") + int(s.first[i])
                 lo = np.maximum(hit - (PERIOD - 1), s.first[i])
                 hi = np.minimum(hit, last[i])
                 ok = hi >= lo
@@ -165,14 +176,10 @@ def _windows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, X.BLOBS)
 
 
-def _by_document(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("uid").agg(F.collect_list("at").alias("ats"))
-
-
-def _covered(n: int, ats: list[bytes]) -> np.ndarray:
+def _covered(n: int, places: bytes) -> np.ndarray:
     """Which of n words lie under a window at one of the places."""
     change = np.zeros(n + 1, np.int64)
-    at = np.frombuffer(b"".join(ats), "<i4")
+    at = np.frombuffer(places, "<i4")
     np.add.at(change, at, 1)
     np.add.at(change, at + WINDOW, -1)
     return np.cumsum(change[:-1]) > 0
@@ -185,9 +192,9 @@ def cut_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text:
     space that followed each of them.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.xxhash64(*docs.columns).alias("uid"), F.col(text).alias("text"), F.struct(*keep).alias("row"))
-    hits = cut(X.meet(_anchors(plain), _answer, HITS))
-    first = spark.sparkContext.broadcast(X.Membership.of(hits.select("uid").distinct(), "uid"))
+    plain = docs.select(F.xxhash64(*[f.name for f in docs.schema if "map" not in f.dataType.simpleString()]).alias("uid"), F.col(text).alias("text"), F.struct(*keep).alias("row"))
+    hits = _hits(_anchors(plain))
+    first = spark.sparkContext.broadcast(X.Membership.of(hits.select("uid"), "uid"))
 
     row_type = docs.select(F.struct(*keep).alias("row")).schema[0]
     moving_type = T.StructType([T.StructField("uid", T.LongType()), T.StructField("text", T.StringType()), row_type])
@@ -197,9 +204,8 @@ def cut_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text:
             yield batch.filter(pa.array(first.value.has(np.asarray(batch.column(0)))))
 
     moved = plain.mapInArrow(moving, moving_type)
-    asked = moved.join(_by_document(hits).withColumnRenamed("uid", "hit"), F.col("uid") == F.col("hit")).select("uid", "text", "row", "ats")
-    marks = cut(X.meet(_windows(asked), _answer, HITS))
-    marked = _by_document(marks).withColumnRenamed("uid", "hit")
+    asked = moved.join(hits.withColumnRenamed("uid", "hit"), F.col("uid") == F.col("hit")).select("uid", "text", "row", "at")
+    marked = _hits(_windows(asked)).withColumnRenamed("uid", "hit")
 
     kinds = T.StructType([row_type, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if with_text:
@@ -231,7 +237,7 @@ def cut_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text:
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if with_text else []), names=kinds.names)
 
     untouched = plain.mapInArrow(lambda b: finish(b, True), kinds)
-    touched = moved.join(marked, F.col("uid") == F.col("hit"), "left").select("uid", "text", "row", "ats").mapInArrow(lambda b: finish(b, False), kinds)
+    touched = moved.join(marked, F.col("uid") == F.col("hit"), "left").select("uid", "text", "row", "at").mapInArrow(lambda b: finish(b, False), kinds)
     out = untouched.unionByName(touched)
     return out.select("row.*", *kinds.names[1:])
 
