@@ -50,18 +50,43 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def blobs(key: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and cut into ranges; the key is a uniformly spread unsigned 64-bit number."""
-    order = np.argsort(key, kind="stable")
+def blobs(key: np.ndarray, columns: list[np.ndarray], buckets: int, owner: np.ndarray | None = None, table: tuple = ()) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and cut into ranges; the key is a uniformly spread unsigned 64-bit number.
+
+    ``table`` holds further columns, which rows share: row i has those at ``owner[i]``; a blob holds each only once.
+    """
+    order = np.argsort(key)
     key = key[order]
     bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
     bounds = np.searchsorted(bucket, np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(bounds))
     sorted_columns = [key.view(np.int64), *(c[order] for c in columns)]
+    owner = owner[order] if owner is not None else None
     step = 64
     for a in range(0, len(full), step):
-        some = full[a : a + step]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack([c[bounds[b] : bounds[b + 1]] for c in sorted_columns]) for b in some], pa.binary())], schema=_ARROW)
+        some, packed = full[a : a + step], []
+        for b in some:
+            part = slice(bounds[b], bounds[b + 1])
+            own = [c[part] for c in sorted_columns]
+            if owner is not None:
+                used, at = np.unique(owner[part], return_inverse=True)
+                own.append(at.astype(np.int16 if len(used) < 2**15 else np.int32))
+                shared = pack([t[used] for t in table])
+            else:
+                shared = b""
+            rows = pack(own)
+            packed.append(struct.pack("<i", len(rows)) + rows + shared)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], schema=_ARROW)
+
+
+def opened(blob: bytes) -> list[np.ndarray]:
+    """Columns of a blob, those of its table last."""
+    n = struct.unpack_from("<i", blob)[0]
+    columns = unpack(blob[4 : 4 + n])
+    if len(blob) > 4 + n:
+        at = columns.pop()
+        columns += [t[at] for t in unpack(blob[4 + n :])]
+    return columns
 
 
 def meet(sent: DataFrame, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -75,7 +100,7 @@ def meet(sent: DataFrame, work: Callable[[list[np.ndarray]], Iterator[pa.RecordB
                     yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
                     held = []
                 at = b
-                held.append(unpack(blob))
+                held.append(opened(blob))
         if held:
             yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
 

@@ -16,7 +16,7 @@ Classes with a common signature are compared in two rounds:
 What passes is checked on whole sets; components are those of the links that hold. No link between
 different components can be missed: any linked pair shares a signature, and was compared or was connected already.
 
-Sets and classes are held as 64-bit hashes of shingles. Null and empty texts have no set and no link. Repeated rows are copies.
+Classes are named by 64-bit hashes of their sets, and two sets are compared on 40-bit hashes of their shingles. Null and empty texts have no set and no link. Repeated rows are copies.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandweave.llm import exchange as X
 from strandweave.llm.frames import load
 from strandweave.llm.textscan import Scan, factors, mix, slices, text_of, window_hash
 from strandweave.operators.components import connected_components
-from strandweave.plans.staging import cut
+from strandweave.plans.staging import cut, stage
 
 SHINGLE = 4
 PERCENT = 85
@@ -65,7 +66,11 @@ def shingle_sets(s: Scan, width: int) -> list[np.ndarray]:
     words = s.word_hash()
     at, doc = s.windows(width)
     key = window_hash(words, at, width, 5)
-    order = np.lexsort((key, doc))
+    order = np.argsort(key)
+    if len(s.off) < 1 << 16:
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(doc[order], kind="stable")]
     key, doc = key[order], doc[order]
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
@@ -130,90 +135,142 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _classes(docs: DataFrame, text: str, shingle: int, keep: list[str]) -> DataFrame:
-    def run(batches):
-        for batch in slices(batches, "__text"):
-            sets = shingle_sets(Scan(text_of(batch, "__text"), lower=True), shingle)
-            n = pa.array([len(x) for x in sets], pa.int64())
-            cls = pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, cls], names=kinds.names)
-
-    kinds = docs.select(*keep).schema.add("n_shingles", "long").add("cls", "long")
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, kinds)
-
+def _pass(docs: DataFrame, text: str, keep: list[str], shingle: int, percent: int) -> DataFrame:
+    """One scan: a row per document (row, n, cls, sketch), and a row per group of classes and member of it (gid, cls, n, hub).
 
-def _signed(docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
+    A group is the classes that share a signature; groups of the same classes have the same gid.
+    """
     buckets = X.buckets_of(docs)
+    row = T.StructField("row", docs.select(F.struct(*keep).alias("row")).schema[0].dataType, True)
+    sent_kind = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType()), row, *(T.StructField(c, T.LongType()) for c in ("n", "cls")), T.StructField("sketch", T.BinaryType())])
+    found_kind = T.StructType([row, *(T.StructField(c, T.LongType()) for c in ("n", "cls")), T.StructField("sketch", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("gid", "hub"))])
 
     def run(batches):
-        held, n, bounds, seen = [], 0, bands(percent, 1 << 12), set()
+        held, n, bounds, seen = [], 0, bands(percent, 1 << 12), {}
 
         def flush():
-            key, cls, size = (np.concatenate(c) for c in zip(*held, strict=True))
-            yield from X.blobs(key, [cls, size.astype(np.int32)], buckets)
+            key, owner = (np.concatenate(c) for c in zip(*held, strict=True))
+            table = np.array(list(seen), np.int64), np.array(list(seen.values()), np.int32)
+            for b in X.blobs(key, [], buckets, owner, table):
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, t) for t in kinds)], names=sent_kind.names)
 
         for batch in slices(batches, "__text"):
+            rows = batch.column(0)
+            kinds = (rows.type, pa.int64(), pa.int64(), pa.binary())
+            sizes, names, sketches = [], [], []
             for x in shingle_sets(Scan(text_of(batch, "__text"), lower=True), shingle):
-                if not len(x):
+                sizes.append(len(x))
+                names.append(class_of(x) if len(x) else None)
+                sketches.append(sketch(x).tobytes() if len(x) else None)
+                if not len(x) or names[-1] in seen:  # nothing, or a copy within this stretch
                     continue
-                cls = class_of(x)
-                if cls in seen:  # a copy within this stretch
-                    continue
-                seen.add(cls)
                 if len(x) >= bounds[-2]:
                     bounds = bands(percent, 2 * len(x))
                 s = signatures(x, percent, bounds)
-                held.append((s, np.full(len(s), cls), np.full(len(s), len(x))))
+                held.append((s, np.full(len(s), len(seen))))
+                seen[names[-1]] = len(x)
                 n += len(s)
+            places = (np.arange(len(sizes)) + len(held)) % buckets
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.nulls(len(sizes), pa.binary()), rows, pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], names=sent_kind.names)
             if n >= STRETCH:
                 yield from flush()
-                held, n, seen = [], 0, set()
+                held, n, seen = [], 0, {}
         if n:
             yield from flush()
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, X.BLOBS)
+    def groups(columns: list[np.ndarray]) -> list[np.ndarray]:
+        key, cls, n = columns
+        order = np.lexsort((cls, key))
+        key, cls, n = key[order], cls[order], n[order]
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls, n = key[keep], cls[keep], n[keep]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((first, [len(key)])))
+        with np.errstate(over="ignore"):
+            gid = mix(np.add.reduceat(mix(cls.view(_U)), first) + size.astype(_U)).view(np.int64)
+        some = np.repeat(size > 1, size)
+        out = np.stack((np.repeat(gid, size)[some], cls[some], n[some].astype(np.int64), np.repeat(cls[first], size)[some]))
+        return list(np.unique(out, axis=1)) if out.shape[1] else list(out)
 
+    def work(batches):
+        held, at, kind = [], None, None
+
+        def flush():
+            gid, cls, n, hub = groups([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(gid), kind), pa.array(n), pa.array(cls), pa.nulls(len(gid), pa.binary()), pa.array(gid), pa.array(hub)], names=found_kind.names)
+
+        for batch in batches:
+            kind = batch.column(2).type
+            own = batch.filter(batch.column(1).is_null())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([*own.columns[2:], pa.nulls(own.num_rows, pa.int64()), pa.nulls(own.num_rows, pa.int64())], names=found_kind.names)
+            rest = batch.filter(batch.column(1).is_valid())
+            for b, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
+                if b != at and held:
+                    yield from flush()
+                    held = []
+                at = b
+                held.append(X.opened(blob))
+        if held:
+            yield from flush()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("__text")).mapInArrow(run, sent_kind)
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(work, found_kind)
 
-def _shared(columns: list[np.ndarray]):
-    """Rows (sig, cls, n, hub) of the signatures that several classes have."""
-    key, cls, n = columns
-    order = np.lexsort((cls, key))
-    key, cls, n = key[order], cls[order], n[order]
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls, n = key[keep], cls[keep], n[keep]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((first, [len(key)])))
-    some = np.repeat(size > 1, size)
-    hub = np.repeat(cls[first], size)
-    yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(cls[some]), pa.array(n[some].astype(np.int64)), pa.array(hub[some])], names=["sig", "cls", "n", "hub"])
+
+def _short(x: np.ndarray) -> bytes:
+    """A set as the upper 40 bits of its hashes, by significance: enough to compare two sets."""
+    return (x >> _U(24)).view(np.uint8).reshape(-1, 8)[:, 4::-1].T.tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(5, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, 4::-1] = raw.T
+    return np.unique(out.view(_U).ravel())
 
 
 def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(cls, members, sketch) of the classes in ``wanted``, from one document each."""
-    at = docs.sparkSession.sparkContext.broadcast(X.Membership.of(wanted, "cls"))
+    """(cls, members) of the classes in ``wanted``; a class may come more than once."""
+    at = docs.sparkSession.sparkContext.broadcast(X.Membership.of(wanted, "uid"))
 
     def run(batches):
         held = at.value
         seen: set[int] = set()
         for batch in slices(batches, "__text"):
+            batch = batch.filter(pa.array(held.has(np.asarray(batch.column(0)))))
             rows = []
+            if not batch.num_rows:
+                continue
             for x in shingle_sets(Scan(text_of(batch, "__text"), lower=True), shingle):
-                if len(x) and held.has(np.array([c := class_of(x)]))[0] and c not in seen:
+                if len(x) and (c := class_of(x)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(c)
-                    rows.append((c, x.tobytes(), sketch(x).tobytes()))
+                    rows.append((c, _short(x)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["cls", "members", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["cls", "members"])
+
+    return docs.select("uid", F.col(text).alias("__text")).mapInArrow(run, "cls long, members binary")
 
-    found = docs.select(F.col(text).alias("__text")).mapInArrow(run, "cls long, members binary, sketch binary")
-    return found.groupBy("cls").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch"))
+
+def _of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of classes in (a, b) pairs, and perhaps a few more."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    at = sets.sparkSession.sparkContext.broadcast(X.Membership.of(ids, "cls"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(at.value.has(np.asarray(batch.column(0)))))
+
+    return sets.mapInArrow(run, sets.schema)
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches don't rule them out."""
-    a = sets.select(F.col("cls").alias("a_"), F.col("sketch").alias("sa"), (F.octet_length("members") / 8).cast("long").alias("na"))
-    b = sets.select(F.col("cls").alias("b_"), F.col("sketch").alias("sb"), (F.octet_length("members") / 8).cast("long").alias("nb"))
+    a = sets.select(F.col("cls").alias("a_"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    b = sets.select(F.col("cls").alias("b_"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     joined = pairs.join(a, F.col("a") == F.col("a_")).join(b, F.col("b") == F.col("b_"))
     joined = joined.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb", "na", "nb")
 
@@ -235,14 +292,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [linked(_long(x), _long(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Of (sig, cls, n, comp, sketch), pairs of different components under a signature that the sketch lets through."""
+    """Of (gid, cls, n, comp, sketch) by group and size, pairs of different components of a group that the sketch lets through."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -294,28 +351,34 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 def classes_and_components(docs: DataFrame, keep: list[str], key: str, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The columns ``keep`` with n_shingles, cls (null without a set) and component_id, the smallest key reachable by links."""
-    held = list(dict.fromkeys([*keep, key]))
-    all_docs = cut(_classes(docs, text, shingle, held))
-    classes = all_docs.where("cls is not null").groupBy("cls").agg(F.min(key).alias("least"))
-    shared = cut(X.meet(_signed(docs, text, shingle, percent), _shared, "sig long, cls long, n long, hub long"))
-    sets = cut(_sets(docs, text, shingle, shared.select("cls").distinct()))
-
+    hashed = docs.select(*dict.fromkeys([*keep, key, text]), F.xxhash64(key, text).alias("uid"))
+    held = list(dict.fromkeys([*keep, key, "uid"]))
+    found = stage(_pass(hashed, text, held, shingle, percent), "shingles")
+    all_docs = found.where("gid is null").select(*[F.col(f"row.{c}").alias(c) for c in dict.fromkeys([*keep, key])], F.col("n").alias("n_shingles"), "cls")
+    of_docs = found.where("gid is null and cls is not null")
+    classes = cut(of_docs.groupBy("cls").agg(F.min(f"row.{key}").alias("least"), F.min("row.uid").alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    shared = cut(found.where("gid is not null").select("gid", "cls", "n", "hub").distinct())
+    several = shared.select("cls").distinct()
+    sketches = classes.join(several, "cls", "left_semi").select("cls", "n", "sketch", "uid")
     star = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = cut(_verified(_near(star, sets, percent), sets, percent))
+    near = cut(_near(star, sketches, percent))
+    sets = stage(_sets(hashed, text, shingle, sketches.select("uid")), "sets")
+    links = cut(_verified(near, _of(sets, near), percent))
     found = cut(connected_components(links, "a", "b"))
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(found, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
 
-    named = labelled(shared.select("sig", "cls", "n"))
-    open_sigs = named.groupBy(F.col("sig").alias("s")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
-    rest = named.join(open_sigs, F.col("sig") == F.col("s"), "left_semi").join(sets.select(F.col("cls").alias("c"), "sketch"), F.col("cls") == F.col("c"))
-    rest = rest.select("sig", "cls", "n", "comp", "sketch").repartition("sig").sortWithinPartitions("sig", "n", "cls")
-    more = cut(_verified(_across(rest, percent), sets, percent))
+    named = labelled(shared.select("gid", "cls", "n"))
+    unsettled = named.groupBy(F.col("gid").alias("g")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
+    rest = named.join(unsettled, F.col("gid") == F.col("g"), "left_semi").join(sketches.select(F.col("cls").alias("c"), "sketch"), F.col("cls") == F.col("c"))
+    rest = rest.select("gid", "cls", "n", "comp", "sketch").repartition("gid").sortWithinPartitions("gid", "n", "cls")
+    across = cut(_across(rest, percent).join(near, ["a", "b"], "left_anti"))
+    more = cut(_verified(across, _of(sets, across), percent))
     if not more.isEmpty():
         found = cut(connected_components(links.unionByName(more), "a", "b"))
 
-    comps = labelled(classes)
+    comps = labelled(classes.select("cls", "least"))
     least = comps.groupBy("comp").agg(F.min("least").alias("component_id")).withColumnRenamed("comp", "of")
     by_class = comps.join(least, F.col("comp") == F.col("of"), "left").select(F.col("cls").alias("c"), "component_id")
     out = all_docs.join(by_class, F.col("cls") == F.col("c"), "left")

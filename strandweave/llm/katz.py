@@ -299,7 +299,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
                 if kind == 0:
                     yield row(0, stretch, None, None, blob)
                 else:
-                    key, doc, times = X.unpack(blob)
+                    key, doc, times = X.opened(blob)
                     held[kind].append((key, doc, times, np.full(len(key), stretch)))
         yield from flush()
 

@@ -68,12 +68,13 @@ def _ask(keys: list[np.ndarray], uid: np.ndarray, at: np.ndarray, buckets: int):
     key = np.concatenate((keys[0][send], mix(pairs[0].astype(np.int64).view(_U))))
     uids = np.concatenate((owner, pairs[0])).astype(np.int64)
     places = np.concatenate((place, -2 - pairs[1])).astype(np.int32)
-    yield from X.blobs(key, [*spare, uids, places], buckets)
+    table, at = np.unique(uids, return_inverse=True)
+    yield from X.blobs(key, [*spare, places], buckets, at, (table,))
 
 
 def _answer(columns: list[np.ndarray], buckets: int):
     """Of a range of keys, the places of those that occur again, as blobs by document."""
-    *keys, uid, at = columns
+    *keys, at, uid = columns
     told = at <= -2
     hit_uid, hit_at = [uid[told]], [-2 - at[told]]
     keys = [k[~told] for k in keys]
