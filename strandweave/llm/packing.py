@@ -37,7 +37,8 @@ from strandweave.plans.staging import cut
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+CACHE_PARTS = 800_000
 _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -63,32 +64,35 @@ class WordEncoder:
     def learn(self, words: list[bytes]) -> None:
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        split, whole = [], []
+        split, whole, parts = [], [], self.parts
         for w in words:
+            if w.isalpha():  # ASCII letters only
+                split.append((w, (w.lower().decode(),)))
+                continue
             t = w.decode("utf-8", "replace")
             if "<|" not in t and (t.isascii() or (max(t) < "ɐ" and unicodedata.is_normalized("NFC", t))):
                 split.append((w, _PART.findall(t.lower())))
             else:
                 whole.append((w, t))
-        new = list({p for _, ps in split for p in ps if p not in self.parts})
-        self.parts.update(zip(new, self._encode(new), strict=True))
+        new = list({p for _, ps in split for p in ps if p not in parts})
+        parts.update(zip(new, self._encode(new), strict=True))
         for w, ps in split:
-            self.words[w] = b"".join([self.parts[p] for p in ps])
+            self.words[w] = b"".join([parts[p] for p in ps]) if len(ps) > 1 else parts[ps[0]]
         self.words.update(zip([w for w, _ in whole], self._encode([t for _, t in whole]), strict=True))
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self.learn([w for w in set(words) if w not in known])
-            if len(set(words)) > CACHE_WORDS:
-                return b"".join(self._encode([w.decode("utf-8", "replace") for w in words]))
-            self.learn([w for w in set(words) if w not in known])
-            return b"".join([known[w] for w in words])
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        new = set().union(*split).difference(self.words) if split else set()
+        if len(new) > CACHE_WORDS:
+            return [b"".join(self._encode([w.decode("utf-8", "replace") for w in words])) for words in split]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = set().union(*split)
+        self.learn(list(new))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -101,12 +105,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer)) if tokenizer not in _ENCODERS else _ENCODERS[tokenizer]
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
+        encoder = _ENCODERS[tokenizer]
         end = END_ID.to_bytes(4, "little")
         for batch in slices(batches, text):
             row, piece, start, length, crc = (array("q") for _ in range(5))
-            for i, t in enumerate(text_of(batch, text).cast(pa.binary()).to_pylist()):
-                ids = encoder.encode(t) + end
+            for i, ids in enumerate(encoder.encode(text_of(batch, text).cast(pa.binary()).to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, v in zip((row, piece, start, length, crc), (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
