@@ -39,6 +39,7 @@ VOCABULARY = 60_000
 CUT = 5
 LARGE = 0.05
 STRETCH = 1_000_000
+PIECE = 400_000
 END, RARE, START, WORDS = 0, 1, 2, 3
 END_HASH = 0x2545F4914F6CDD1D
 PARTS = "kind int, stretch long, context int, sums array<double>, blob binary"
@@ -163,8 +164,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
     """What documents and pairs add up to, as PARTS: kind 0, a stretch's documents; 1, shares of them; 2, a context."""
     spark = docs.sparkSession
     at = spark.sparkContext.broadcast(model)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * partitions
+    buckets = X.buckets_of(docs)
     sent_kind = "bucket int, kind int, stretch long, blob binary"
     arrow = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("stretch", pa.int64()), ("blob", pa.binary())])
 
@@ -231,53 +231,60 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         if n:
             yield from flush(task << 24 | stretches)
 
-    def shares(stretch, doc, columns):
-        """One row per stretch with the sums of its documents: counts by r, known, score, more."""
+    def added(stretch, doc, columns):
+        """Sums of the columns, of which each is made as it is needed, over the rows of a document."""
         order = np.lexsort((doc, stretch))
         stretch, doc = stretch[order], doc[order]
         new = np.flatnonzero(np.concatenate(([True], (stretch[1:] != stretch[:-1]) | (doc[1:] != doc[:-1]))))
-        sums = [np.add.reduceat(c[order], new) for c in columns]  # columns are made one at a time
-        stretch, doc = stretch[new], doc[new].astype(np.int32)
+        return stretch[new], doc[new], *(np.add.reduceat(c[order], new) for c in columns)
+
+    def shares(sums):
+        """One row per stretch with the sums of its documents: counts by r, known, score, more."""
+        stretch, doc, *columns = (np.concatenate(c) for c in zip(*sums, strict=True))
+        stretch, doc, *columns = added(stretch, doc, columns)
         edges = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1], [True])))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            packed = [doc[a:b], *(x[a:b].astype(np.int32) if x.dtype.kind == "i" else x[a:b].astype(np.float64).view(np.int64) for x in sums)]
+            packed = [doc[a:b], *(x[a:b].astype(np.int32) if x.dtype.kind == "i" else x[a:b].view(np.int64) for x in columns)]
             yield row(1, int(stretch[a]), None, None, X.pack(packed))
 
     def row(kind, stretch, context, sums, blob):
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([stretch], pa.int64()), pa.array([context], pa.int32()), pa.array([sums], pa.list_(pa.float64())), pa.array([blob], pa.binary())], names=["kind", "stretch", "context", "sums", "blob"])
 
-    def pairs(key, doc, times, stretch, m):
-        order = np.argsort(key, kind="stable")
-        key, doc, times, stretch = key[order], doc[order], times[order], stretch[order]
+    def pairs(key, doc, times, stretch, m, sums, contexts):
         new = np.concatenate(([True], key[1:] != key[:-1]))
         group = np.cumsum(new) - 1
         c = np.add.reduceat(np.maximum(times, 0), np.flatnonzero(new)).astype(np.int64)
         v, w = (key >> _U(_BITS) & _U(2**_BITS - 1)).astype(np.int32), (key & _U(2**_BITS - 1)).astype(np.int32)
-        del key, order
         each, size = c[group].astype(np.int32), abs(times)
         unseen = each == 0
         score = np.where(each > CUT, size * np.log10(np.maximum(each - LARGE, 0.5)), 0.0)
         score[unseen] += (size * (_log(m.p[w]) + np.where(m.context[v] > 0, _log(m.context[v]), 0)))[unseen]
         counted = (np.where(each == r, size, 0).astype(np.int32) for r in range(1, CUT + 1))
-        yield from shares(stretch, doc, itertools.chain(counted, (np.zeros(len(size), t) if t else score for t in (np.int32, None, np.float64))))
+        sums.append(added(stretch, doc, itertools.chain(counted, (np.zeros(len(size), t) if t else score for t in (np.int32, None, np.float64)))))
         back = unseen & (m.context[v] > 0)
         for s in np.unique(stretch[back]):
             own = back & (stretch == s)
-            yield row(3, int(s), None, None, X.pack([doc[own].astype(np.int32), v[own].astype(np.int32), size[own].astype(np.int32)]))
+            yield row(3, int(s), None, None, X.pack([doc[own].astype(np.int32), v[own], size[own].astype(np.int32)]))
         gv, gw = v[new][c > 0], w[new][c > 0]
         c = c[c > 0]
         names, place = np.unique(gv, return_inverse=True)
-        table = np.array([*(np.bincount(place, c == r, len(names)) for r in range(1, CUT + 2)), np.bincount(place, np.where(c > CUT, c - LARGE, 0), len(names)), np.bincount(place, m.p[gw], len(names))])
-        yield pa.RecordBatch.from_arrays([pa.array([2] * len(names), pa.int32()), pa.array([None] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array(table.T.tolist(), pa.list_(pa.float64())), pa.array([None] * len(names), pa.binary())], names=["kind", "stretch", "context", "sums", "blob"])
+        table = [*(np.bincount(place, c == r, len(names)) for r in range(1, CUT + 2)), np.bincount(place, np.where(c > CUT, c - LARGE, 0), len(names)), np.bincount(place, m.p[gw], len(names))]
+        contexts.append((names, *table))
 
-    def rares(key, doc, times, stretch, m):
-        order = np.argsort(key, kind="stable")
-        key, doc, times, stretch = key[order], doc[order], times[order], stretch[order]
+    def rares(key, doc, times, stretch, m, sums, contexts):
         new = np.concatenate(([True], key[1:] != key[:-1]))
         c = np.add.reduceat(np.maximum(times, 0), np.flatnonzero(new)).astype(np.int64)[np.cumsum(new) - 1]
-        size = abs(times).astype(np.int64)
-        none = [np.zeros(len(size), np.int64)] * CUT
-        yield from shares(stretch, doc, [*none, np.where(c > 0, size, 0), size * _log(m.within_rare(c)), size * np.log10(c + 1)])
+        size = abs(times)
+        none = [np.zeros(len(size), np.int32)] * CUT
+        sums.append(added(stretch, doc, [*none, np.where(c > 0, size, 0), size * _log(m.within_rare(c)), size * np.log10(c + 1)]))
+        yield from ()
+
+    def summed(contexts):
+        names, *table = (np.concatenate(c) for c in zip(*contexts, strict=True))
+        names, place = np.unique(names, return_inverse=True)
+        values = np.array([np.bincount(place, c, len(names)) for c in table]).T.ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * len(table), pa.int32()), pa.array(values))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), 2), pa.int32()), pa.nulls(len(names), pa.int64()), pa.array(names, pa.int32()), lists, pa.nulls(len(names), pa.binary())], names=["kind", "stretch", "context", "sums", "blob"])
 
     def work(batches):
         m = at.value
@@ -285,11 +292,26 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         last = None
 
         def flush():
+            sums, contexts = [], []
             for kind, f in ((1, pairs), (2, rares)):
-                if held[kind]:
-                    key, doc, times, stretch = (np.concatenate(c) for c in zip(*held[kind], strict=True))
-                    yield from f(key.view(_U), doc, times, stretch, m)
-                    held[kind] = []
+                if not held[kind]:
+                    continue
+                key, doc, times, stretch = (np.concatenate(c) for c in zip(*held[kind], strict=True))
+                held[kind] = []
+                key = key.view(_U)
+                order = np.argsort(key)
+                key, doc, times, stretch = key[order], doc[order], times[order], stretch[order]
+                del order
+                at = 0
+                while at < len(key):  # pieces that end with a key
+                    to = min(len(key), at + PIECE)
+                    to = int(np.searchsorted(key, key[to - 1], "right"))
+                    yield from f(key[at:to], doc[at:to], times[at:to], stretch[at:to], m, sums, contexts)
+                    at = to
+            if sums:
+                yield from shares(sums)
+            if contexts:
+                yield from summed(contexts)
 
         for batch in batches:
             for b, kind, stretch, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -304,7 +326,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         yield from flush()
 
     sent = docs.mapInArrow(run, sent_kind)
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(work, PARTS)
+    return X.dealt(sent).mapInArrow(work, PARTS)
 
 
 def backoff(parts: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +335,7 @@ def backoff(parts: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
     rows = parts.where("kind = 2").groupBy("context").agg(*sums).collect()
     table = np.zeros((len(model.counts), CUT + 3))
     for r in rows:
-        table[r["context"]] = r[1:]
+        table[r["context"]] += r[1:]
     by_count = table[:, : CUT + 1]
     d = discounts([0, *by_count.sum(0)])
     used = (by_count[:, :CUT] * (np.arange(1, CUT + 1) * d[1:])).sum(1) + table[:, CUT + 1]
