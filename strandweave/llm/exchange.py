@@ -22,7 +22,7 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
 def buckets_of(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -89,6 +89,11 @@ def opened(blob: bytes) -> list[np.ndarray]:
     return columns
 
 
+def dealt(sent: DataFrame, *order: str) -> DataFrame:
+    """Range b in partition b."""
+    return sent.repartitionById(buckets_of(sent), "bucket").sortWithinPartitions("bucket", *order)
+
+
 def meet(sent: DataFrame, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``work`` on the concatenated columns of each range of keys, one range at a time."""
 
@@ -104,8 +109,7 @@ def meet(sent: DataFrame, work: Callable[[list[np.ndarray]], Iterator[pa.RecordB
         if held:
             yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return dealt(sent).mapInArrow(run, schema)
 
 
 class Membership:

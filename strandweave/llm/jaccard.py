@@ -215,9 +215,8 @@ def _pass(docs: DataFrame, text: str, keep: list[str], shingle: int, percent: in
         if held:
             yield from flush()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("__text")).mapInArrow(run, sent_kind)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(work, found_kind)
+    return X.dealt(sent).mapInArrow(work, found_kind)
 
 
 def _short(x: np.ndarray) -> bytes:

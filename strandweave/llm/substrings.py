@@ -107,7 +107,7 @@ def _merge(columns: list[np.ndarray]):
 
 def _hits(asked: DataFrame) -> DataFrame:
     """(uid, at): for each document with keys that occur again, all of their places."""
-    buckets = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = X.buckets_of(asked)
     return cut(X.meet(X.meet(asked, lambda c: _answer(c, buckets), X.BLOBS), _merge, HITS))
 
 
