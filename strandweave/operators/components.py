@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.plans.staging import cut
+from strandweave.plans.staging import Rounds
 
 MAX_ROUNDS = 60
 
@@ -34,9 +34,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     alone = pairs.where("u = v").select("u").distinct()
-    now, seen = cut(_canonical(pairs)), None
+    rounds = Rounds(edges.sparkSession, "components")
+    now, seen = rounds.put(_canonical(pairs)), None
     for _ in range(MAX_ROUNDS):
-        now = cut(_canonical(_small_star(_canonical(_large_star(now)))))
+        now = rounds.put(_canonical(_small_star(_canonical(_large_star(now)))))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

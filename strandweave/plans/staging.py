@@ -34,3 +34,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Results of the rounds of a loop, each written to the shared folder; the one before the last is deleted.
+
+    A written table is sized by its files, where a checkpoint keeps the estimate of its plan, which
+    grows beyond all bounds over rounds of joins.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(path)
