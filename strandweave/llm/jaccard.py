@@ -251,7 +251,7 @@ def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["cls", "members"])
 
-    return docs.select("uid", F.col(text).alias("__text")).mapInArrow(run, "cls long, members binary")
+    return docs.select("__uid", F.col(text).alias("__text")).mapInArrow(run, "cls long, members binary")
 
 
 def _of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -350,12 +350,12 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 def classes_and_components(docs: DataFrame, keep: list[str], key: str, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The columns ``keep`` with n_shingles, cls (null without a set) and component_id, the smallest key reachable by links."""
-    hashed = docs.select(*dict.fromkeys([*keep, key, text]), F.xxhash64(key, text).alias("uid"))
-    held = list(dict.fromkeys([*keep, key, "uid"]))
+    hashed = docs.select(*dict.fromkeys([*keep, key, text]), F.xxhash64(key, text).alias("__uid"))
+    held = list(dict.fromkeys([*keep, key, "__uid"]))
     found = stage(_pass(hashed, text, held, shingle, percent), "shingles")
     all_docs = found.where("gid is null").select(*[F.col(f"row.{c}").alias(c) for c in dict.fromkeys([*keep, key])], F.col("n").alias("n_shingles"), "cls")
     of_docs = found.where("gid is null and cls is not null")
-    classes = cut(of_docs.groupBy("cls").agg(F.min(f"row.{key}").alias("least"), F.min("row.uid").alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = cut(of_docs.groupBy("cls").agg(F.min(f"row.{key}").alias("least"), F.min("row.__uid").alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     shared = cut(found.where("gid is not null").select("gid", "cls", "n", "hub").distinct())
     several = shared.select("cls").distinct()
     sketches = classes.join(several, "cls", "left_semi").select("cls", "n", "sketch", "uid")
