@@ -37,8 +37,8 @@ from strandweave.plans.staging import cut
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 1_200_000
-CACHE_PARTS = 800_000
+CACHE_WORDS = 600_000
+CACHE_PARTS = 400_000
 _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
