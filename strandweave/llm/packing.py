@@ -21,12 +21,14 @@ empty result.
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,62 +39,104 @@ from strandweave.plans.staging import cut
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 600_000
-CACHE_PARTS = 400_000
-_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+CACHE_PARTS = 300_000
+CACHE_WHOLE = 50_000
+JOINED = 64
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+_LATER = re.compile("[^\0-\u024f]")
+_BOUND = np.uint32(0xFFFFFFFF)
 
 
 class WordEncoder:
-    """Ids of texts, word by word, as little-endian 32-bit bytes.
+    """Ids of texts, each distinct word of a batch once.
 
     The tokenizer's normalizer and splitter never look across white space, so the ids of a text are those of its
-    words in turn. Words seen before are looked up; the table is emptied when it holds ``CACHE_WORDS``.
-    Words in plain letters are split further by the tokenizer's own pattern; others are encoded whole.
+    words in turn. Words in plain letters are split by the tokenizer's own pattern, and parts seen before are looked
+    up; new ones are encoded many at a time, as each ends with an id of an end piece. Other words are encoded whole.
+    Both tables are emptied when full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.whole: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        split, whole, parts = [], [], self.parts
-        for w in words:
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, ``JOINED`` of them in one text."""
+        found = self.tokenizer.encode_batch_fast([" ".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)], add_special_tokens=False)
+        ids = np.array([i for x in found for i in x.ids], "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+        if len(ends) != len(parts):  # a part that is several, or none, to the tokenizer
+            return self._each(parts)
+        body, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [body[a:b] for a, b in zip(at, at[1:])]
+
+    def _look_up(self, parts: list[str]) -> bytes:
+        known = self.parts
+        wanted = set(parts)
+        wanted.discard("\n")
+        new = list(wanted.difference(known))
+        if len(known) + len(new) > CACHE_PARTS:
+            known.clear()
+            new = list(wanted)
+        known["\n"] = _BOUND.tobytes()
+        known.update(zip(new, self._encode(new), strict=True))
+        return b"".join(map(known.__getitem__, parts))
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and the bounds of each."""
+        letters, split, whole = [], [], []
+        for i, w in enumerate(words):
             if w.isalpha():  # ASCII letters only
-                split.append((w, (w.lower().decode(),)))
-                continue
-            t = w.decode("utf-8", "replace")
-            if "<|" not in t and (t.isascii() or (max(t) < "ɐ" and unicodedata.is_normalized("NFC", t))):
-                split.append((w, _PART.findall(t.lower())))
+                letters.append(i)
+            elif w.isascii():
+                (whole if b"<|" in w else split).append(i)
             else:
-                whole.append((w, t))
-        new = list({p for _, ps in split for p in ps if p not in parts})
-        parts.update(zip(new, self._encode(new), strict=True))
-        for w, ps in split:
-            self.words[w] = b"".join([parts[p] for p in ps]) if len(ps) > 1 else parts[ps[0]]
-        self.words.update(zip([w for w, _ in whole], self._encode([t for _, t in whole]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.words) if split else set()
-        if len(new) > CACHE_WORDS:
-            return [b"".join(self._encode([w.decode("utf-8", "replace") for w in words])) for words in split]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = set().union(*split)
-        self.learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+                t = w.decode("utf-8", "replace")
+                (whole if _LATER.search(t) or "<|" in t or not unicodedata.is_normalized("NFC", t) else split).append(i)
+        listed: list[str] = []
+        if letters:
+            for p in b"\n".join([words[i] for i in letters]).decode().lower().split("\n"):
+                listed += (p, "\n")
+        if split:
+            listed += _PART.findall(b"\n".join([words[i] for i in split]).decode("utf-8", "replace").lower() + "\n")
+        others = [words[i] for i in whole]
+        new = list(set(others).difference(self.whole))
+        if len(self.whole) + len(new) > CACHE_WHOLE:
+            self.whole.clear()
+            new = list(set(others))
+        self.whole.update(zip(new, self._each([w.decode("utf-8", "replace") for w in new]), strict=True))
+        end = _BOUND.tobytes()
+        ids = np.frombuffer(self._look_up(listed) + b"".join([self.whole[w] + end for w in others]), "<u4")
+        bound = np.flatnonzero(ids == _BOUND)
+        size = np.diff(bound, prepend=-1) - 1
+        order = np.array(letters + split + whole, np.int64)
+        starts, ends = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[order], ends[order] = bound - size, bound
+        return ids, np.stack((starts, ends))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by ``END_ID``, and the first place of each text and the end of the last."""
+        split = pc.ascii_split_whitespace(texts)
+        named = split.flatten().dictionary_encode()
+        ids, (starts, ends) = self._words(named.dictionary.cast(pa.binary()).to_pylist())
+        codes = np.asarray(named.indices)
+        size = (ends - starts)[codes]
+        to = np.cumsum(size)
+        out = ids[np.arange(int(size.sum())) + np.repeat(starts[codes] - (to - size), size)]
+        words = np.asarray(split.offsets, np.int64)[1:]
+        words = words - int(split.offsets[0].as_py())
+        closed = np.concatenate(([0], to))[words]
+        return np.insert(out, closed, END_ID).astype("<u4"), np.concatenate(([0], closed + np.arange(1, len(closed) + 1)))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -108,14 +152,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
-        end = END_ID.to_bytes(4, "little")
         for batch in slices(batches, text):
             row, piece, start, length, crc = (array("q") for _ in range(5))
-            for i, ids in enumerate(encoder.encode(text_of(batch, text).cast(pa.binary()).to_pylist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, v in zip((row, piece, start, length, crc), (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            ids, at = encoder.encode(text_of(batch, text))
+            body, at = memoryview(ids).cast("B"), at.tolist()
+            for i, (first, last) in enumerate(zip(at, at[1:])):
+                for k, a in enumerate(range(first, last, capacity)):
+                    b = min(a + capacity, last)
+                    for column, v in zip((row, piece, start, length, crc), (i, k, a - first, b - a, zlib.crc32(body[4 * a : 4 * b])), strict=True):
                         column.append(v)
             rows = pa.array(np.frombuffer(row, np.int64) if len(row) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
