@@ -4,7 +4,8 @@ Merges are taken from an agenda, best score first and leftmost among equals. A c
 that comes up is skipped if a keyed hash of it (seed, variant, unit, place, piece) falls under the dropout rate,
 so one seed always gives one segmentation, on any number of tasks. Each
 occurrence of a unit draws one of ``VARIANTS`` variants by a keyed hash of the document key and its place; a
-unit is segmented once per variant and then looked up.
+unit is segmented once per variant and then looked up. The new units of a batch go through their agendas in
+step, as rows of arrays; long ones, and those with characters that only longer pieces hold, one by one with the same result.
 
 Characters outside the vocabulary become byte pieces, a literal U+2581 too, so decoding gives back the text,
 whatever was skipped. With dropout 0 the ids are those of the SentencePiece library. A null text is an empty one.
@@ -30,10 +31,25 @@ SPACE = "▁"
 DROPOUT = 0.1
 SEED = 20
 VARIANTS = 4
-CACHE_UNITS = 250_000
+CACHE_UNITS = 800_000
+LOCKSTEP = 64
+_NONE = np.iinfo(np.int32).max
+_ALL = 2**64 - 1
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _drawn(key: int, place: int, piece: int) -> int:
+    """32 bits for a candidate: its unit's key, its place in the unit and the piece it would make."""
+    x = key ^ (place << 32 | piece)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return (x ^ x >> 31) >> 32
+
+
+def _drawn_many(key: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return mix(key ^ (place.astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64))) >> np.uint64(32)
+
+
 class MergeDropEncoder:
     def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         import sentencepiece
@@ -49,7 +65,33 @@ class MergeDropEncoder:
         self.bytes = [bytes((int(p[3:5], 16),)) if i in byte else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.seed, self.variants = seed, variants if dropout else 1
         self.limit = int(dropout * 2**32)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.known: dict[tuple[int, str], bytes] = {}
+        self.literal = np.array([self.byte_id[b] for b in SPACE.encode()], "<u4").tobytes()
+        self._tables(n)
+
+    def _tables(self, n: int) -> None:
+        """Arrays for many units at once: ids of characters, and what two adjacent pieces merge to."""
+        self.char_id = -2 - np.arange(0x110000, dtype=np.int32)  # of characters outside the vocabulary: what they are
+        self.char_id[[ord(c) for c in {c for p in self.id for c in p}.difference(self.id)]] = -1  # only within longer pieces
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char_id[ord(p)] = i
+        pairs = sorted((self.id[p[:k]] << 32 | self.id[p[k:]], i) for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id)
+        self.pair_key, self.pair_into = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+        self.pair_into = self.pair_into.astype(np.int32)
+        scores, place = np.unique([self.score[p] for p in self.id], return_inverse=True)
+        self.rank = np.full(n + 1, _NONE, np.int32)  # by piece; the last one is that of no merge
+        self.rank[list(self.id.values())] = place
+        self.of_byte = np.array([self.byte_id[b] for b in range(256)], "<u4")
+
+    def _into(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that a and b merge to, -1 for none; negative numbers merge with nothing."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where(self.pair_key[at] == key, self.pair_into[at], -1)
+
+    def _key(self, unit: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(unit, self.seed * 1021 + variant)
 
     def segment(self, unit: str, variant: int) -> list[str]:
         """The agenda over one unit."""
@@ -62,12 +104,12 @@ class MergeDropEncoder:
             if s is not None:
                 agenda.append((s, i, i + 1, part[i] + part[i + 1]))
         heapq.heapify(agenda)
-        key = xxhash.xxh32_intdigest(unit, self.seed * 1021 + variant) if self.limit else 0
+        key = self._key(unit, variant) if self.limit else 0
         while agenda:
             _, i, j, both = heapq.heappop(agenda)
             if not part[i] or right[i] != j or len(part[i]) + len(part[j]) != len(both):
                 continue
-            if self.limit and xxhash.xxh32_intdigest(both, key + i & 0xFFFFFFFF) < self.limit:
+            if self.limit and _drawn(key, i, self.id[both]) < self.limit:
                 continue
             part[i], part[j] = both, ""
             k = right[i] = right[j]
@@ -90,31 +132,137 @@ class MergeDropEncoder:
             out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
         return np.array(out, "<u4").tobytes()
 
-    def encode(self, text: str, key: int = 0) -> bytes:
-        """Ids as little-endian 32-bit bytes; ``key`` is that of the document."""
-        if not text:
-            return b""
-        literal = np.array([self.byte_id[b] for b in SPACE.encode()], "<u4").tobytes()
-        out = []
-        for k, stretch in enumerate(text.split(SPACE)):
+    def _agendas(self, chars: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The agendas of many units, a step of each at a time; ``chars`` has a unit per row, filled up with -1.
+
+        An agenda is a row of ranks, by the place where a candidate begins; gives the pieces, -1 between them.
+        """
+        m, width = chars.shape
+        sym = np.full((m, width + 1), -1, np.int32)
+        sym[:, :-1] = chars
+        after = np.tile(np.arange(1, width + 2, dtype=np.int16), (m, 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int16), (m, 1))
+        into = np.full((m, width), -1, np.int32)
+        row, at = np.nonzero(sym[:, 1:] != -1)
+        into[row, at] = self._into(sym[row, at], sym[row, at + 1])
+        rank = self.rank[into]
+        live = np.arange(m)
+        while True:
+            i = rank[live].argmin(1)
+            some = rank[live, i] != _NONE
+            live, i = live[some], i[some]
+            if not len(live):
+                return sym[:, :-1]
+            both = into[live, i]
+            go, a = live, i
+            if self.limit:
+                skipped = _drawn_many(key[live], i, both) < self.limit
+                rank[live[skipped], i[skipped]] = _NONE
+                go, a, both = live[~skipped], i[~skipped], both[~skipped]
+            j = after[go, a]
+            k = after[go, j]
+            sym[go, a], sym[go, j] = both, -1
+            after[go, a] = k
+            inside = k <= width
+            before[go[inside], k[inside]] = a[inside]
+            rank[go, np.minimum(j, width - 1)] = _NONE
+            nxt = sym[go, np.minimum(k, width)]
+            found = self._into(both, nxt)
+            into[go, a], rank[go, a] = found, self.rank[found]
+            h = before[go, a]
+            has = h >= 0
+            go, h, both = go[has], h[has], both[has]
+            found = self._into(sym[go, h], both)
+            into[go, h], rank[go, h] = found, self.rank[found]
+
+    def ids_of_many(self, wanted: list[tuple[int, str]]) -> list[bytes]:
+        """``ids_of`` of each (variant, unit)."""
+        out: list[bytes] = [b""] * len(wanted)
+        size = np.fromiter((len(u) for _, u in wanted), np.int64, len(wanted))
+        start = np.cumsum(size) - size
+        chars = self.char_id[np.frombuffer("".join([u for _, u in wanted]).encode("utf-32-le"), "<u4")]
+        plain = np.logical_and.reduceat(chars != -1, start)
+        lone = ~plain | (size > LOCKSTEP)
+        for i in np.flatnonzero(lone).tolist():
+            out[i] = self.ids_of(wanted[i][1], wanted[i][0])
+        rest = np.flatnonzero(~lone)
+        rest = rest[np.argsort(size[rest], kind="stable")]
+        edges = np.searchsorted(size[rest], [0, 4, 6, 8, 10, 13, 18, 32, LOCKSTEP], "right")
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for at in range(lo, hi, 1 << 14):
+                own = rest[at : min(at + (1 << 14), hi)]
+                width = int(size[own[-1]])
+                place = np.arange(width)
+                inside = place < size[own][:, None]
+                rows = np.where(inside, chars[np.where(inside, start[own][:, None] + place, 0)], -1)
+                key = np.array([self._key(wanted[i][1], wanted[i][0]) for i in own.tolist()] if self.limit else np.zeros(len(own)), np.uint64)
+                pieces = self._agendas(rows, key)
+                own_row, _ = held = np.nonzero(pieces != -1)
+                ids = pieces[held]
+                count = np.ones(len(ids), np.int64)
+                absent = np.flatnonzero(ids < 0)
+                if len(absent):
+                    code = -2 - ids[absent]
+                    count[absent] += (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+                    ids = np.repeat(ids, count)
+                    ids[ids < 0] = self.of_byte[np.frombuffer("".join(map(chr, code.tolist())).encode(), np.uint8)]
+                n = np.cumsum(np.bincount(own_row, count, len(own)).astype(np.int64) * 4).tolist()
+                body = ids.astype("<u4").tobytes()
+                for i, a, b in zip(own.tolist(), [0, *n], n):
+                    out[i] = body[a:b]
+        return out
+
+    def _units(self, text: str, key: int) -> tuple[list[str], list[np.ndarray]]:
+        """Units in turn, the empty one for a literal U+2581, and the variants drawn for them."""
+        units, drawn = [], []
+        for k, stretch in enumerate(text.split(SPACE) if text else ()):
             if k:
-                out.append(literal)
-            spaced = stretch.replace(" ", SPACE) if k else SPACE + stretch.replace(" ", SPACE)
-            units = _UNIT.findall(spaced)
+                units.append("")
+                drawn.append(np.zeros(1, np.int64))
+            own = _UNIT.findall(stretch.replace(" ", SPACE) if k else SPACE + stretch.replace(" ", SPACE))
             with np.errstate(over="ignore"):
-                draw = mix(np.arange(len(units), dtype=np.uint64) + mix(np.uint64(key & 2**64 - 1) ^ np.uint64(self.seed + 1000 * k)))
-            drawn = (draw % np.uint64(self.variants)).astype(np.int64).tolist()
-            known = self.known
-            for v, u in zip(drawn, units, strict=True):
-                found = known[v].get(u)
-                if found is None:
-                    if len(known[v]) >= CACHE_UNITS:
-                        known[v].clear()
-                    found = self.ids_of(u, v)
-                    if len(u) < 100:
-                        known[v][u] = found
-                out.append(found)
-        return b"".join(out)
+                draw = mix(np.arange(len(own), dtype=np.uint64) + mix(np.uint64(key & 2**64 - 1) ^ np.uint64(self.seed + 1000 * k)))
+            units += own
+            drawn.append((draw % np.uint64(self.variants)).astype(np.int64))
+        return units, drawn
+
+    def encode_many(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes; a key is that of the document."""
+        flat, drawn, ends = [], [np.zeros(0, np.int64)], [0]
+        for t, k in zip(texts, keys, strict=True):
+            own, draw = self._units(t, k)
+            flat += own
+            drawn += draw
+            ends.append(len(flat))
+        named = pa.array(flat, pa.string()).dictionary_encode()
+        names = named.dictionary.to_pylist()
+        pair = np.asarray(named.indices, np.int64) * self.variants + np.concatenate(drawn)
+        seen = np.zeros(len(names) * self.variants, bool)
+        seen[pair] = True
+        wanted = [(p % self.variants, names[p // self.variants]) for p in np.flatnonzero(seen).tolist()]
+        known = self.known
+        new = [w for w in wanted if w not in known and w[1]]
+        if len(known) + len(new) > CACHE_UNITS:
+            known.clear()
+            new = [w for w in wanted if w[1]]
+        known[0, ""] = self.literal
+        if new:
+            known.update(zip(new, self.ids_of_many(new), strict=True))
+        found = [known[w] for w in wanted]
+        for w in new:
+            if len(w[1]) >= 100:
+                del known[w]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        code = (np.cumsum(seen) - 1)[pair]
+        to = np.cumsum(size[code])
+        size, start = size[code], (np.cumsum(size) - size)[code]
+        body = ids[np.arange(int(size.sum())) + np.repeat(start - (to - size), size)].tobytes()
+        at = (4 * np.concatenate(([0], to))[ends]).tolist()
+        return [body[a:b] for a, b in zip(at, at[1:])]
+
+    def encode(self, text: str, key: int = 0) -> bytes:
+        return self.encode_many([text], [key])[0]
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes
@@ -134,8 +282,9 @@ def encode_documents(docs: DataFrame, model: str, dropout: float = DROPOUT, seed
         encoder = _ENCODERS[model, dropout, seed]
         for batch in slices(batches, text):
             rows = []
-            for k, t in zip(batch.column(0).to_pylist(), text_of(batch, text).to_pylist(), strict=True):
-                ids = encoder.encode(t, k if isinstance(k, int) else xxhash.xxh64_intdigest(str(k)))
+            names, texts = batch.column(0).to_pylist(), text_of(batch, text).to_pylist()
+            keys = [k if isinstance(k, int) else xxhash.xxh64_intdigest(str(k)) for k in names]
+            for ids, t in zip(encoder.encode_many(texts, keys), texts, strict=True):
                 back = encoder.decode(ids)
                 rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == t, ids))
             n, crc, sha, same, ids = zip(*rows, strict=True)

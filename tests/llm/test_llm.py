@@ -170,6 +170,14 @@ def test_merge_dropout():
         assert drop.decode(drop.encode(t, 5)) == t
         assert drop.encode(t, 5) == mergedrop.MergeDropEncoder(path, 0.3).encode(t, 5)
     assert drop.encode("Hello world " * 20, 5) != drop.encode("Hello world " * 20, 6)
+    rng = random.Random(8)
+    letters = "aeinrst" * 6 + "éß日\n▁ǘ☃😀\x01"
+    units = [(v, "".join(rng.choice(letters) for _ in range(rng.randint(1, 90)))) for v in range(4) for _ in range(150)]
+    for e in (plain, drop):
+        assert e.ids_of_many(units) == [e.ids_of(u, v) for v, u in units]
+    texts = ["", *(" ".join(u for _, u in units[i : i + 20]) for i in range(0, 600, 20)), ""]
+    assert [drop.decode(x) for x in drop.encode_many(texts, list(range(len(texts))))] == texts
+    assert drop.encode_many([], []) == []
 
 
 def test_token_attribution(spark):
