@@ -8,9 +8,19 @@ from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+_BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold about ``BATCH_BYTES`` of text, where its setting is still Spark's own."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def crc_remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus

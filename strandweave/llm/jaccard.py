@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandweave.llm import exchange as X
-from strandweave.llm.frames import load
+from strandweave.llm.frames import load, small_batches
 from strandweave.llm.textscan import Scan, factors, mix, slices, text_of, window_hash
 from strandweave.operators.components import connected_components
 from strandweave.plans.staging import cut, stage
@@ -350,6 +350,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 def classes_and_components(docs: DataFrame, keep: list[str], key: str, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The columns ``keep`` with n_shingles, cls (null without a set) and component_id, the smallest key reachable by links."""
+    small_batches(docs.sparkSession)
     hashed = docs.select(*dict.fromkeys([*keep, key, text]), F.xxhash64(key, text).alias("__uid"))
     held = list(dict.fromkeys([*keep, key, "__uid"]))
     found = stage(_pass(hashed, text, held, shingle, percent), "shingles")

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import crc_remainder, load
+from strandweave.llm.frames import crc_remainder, load, small_batches
 from strandweave.llm.textscan import Scan, mix, slices, text_of
 
 FIT_ROWS = 4_000
@@ -152,6 +152,7 @@ def fit_table(docs: DataFrame, key: str, text: str, lang: str, fit_rows: int = F
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with lang_pred, score and ambiguous. Only the text is looked at."""
+    small_batches(docs.sparkSession)
     at = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("__text"))
     kinds = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import load
+from strandweave.llm.frames import load, small_batches
 from strandweave.llm.textscan import slices, text_of
 from strandweave.plans.staging import cut
 
@@ -41,6 +41,7 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_PARTS = 300_000
 CACHE_WHOLE = 50_000
+SLICE = 2 << 20
 JOINED = 64
 _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 _LATER = re.compile("[^\0-\u024f]")
@@ -152,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             row, piece, start, length, crc = (array("q") for _ in range(5))
             ids, at = encoder.encode(text_of(batch, text))
             body, at = memoryview(ids).cast("B"), at.tolist()
@@ -167,6 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
 
+    small_batches(docs.sparkSession)
     kinds = docs.select(key).schema
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
         kinds = kinds.add(name, kind)

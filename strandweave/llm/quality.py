@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import load
+from strandweave.llm.frames import load, small_batches
 from strandweave.llm.textscan import Scan, mix, repeated, segment_hash, slices, text_of, window_hash
 from strandweave.plans.staging import cut
 
@@ -108,6 +108,7 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns; the texts are not shuffled while rejected hosts are few."""
+    small_batches(docs.sparkSession)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # clear of clashing names
     own_host, own_text = (f"c{docs.columns.index(c)}" for c in (host, text))
     bad = failed_hosts(document_stats(plain, [own_host], own_text).withColumn("base_failed", base_failed()), own_host)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandweave.llm import exchange as X
-from strandweave.llm.frames import load
+from strandweave.llm.frames import load, small_batches
 from strandweave.llm.textscan import Scan, mix, slices, text_of, window_hash
 from strandweave.plans.staging import cut
 
@@ -193,6 +193,7 @@ def cut_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text:
     space that followed each of them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.select(F.xxhash64(*[f.name for f in docs.schema if "map" not in f.dataType.simpleString()]).alias("uid"), F.col(text).alias("text"), F.struct(*keep).alias("row"))
     hits = _hits(_anchors(plain))
     first = spark.sparkContext.broadcast(X.Membership.of(hits.select("uid"), "uid"))

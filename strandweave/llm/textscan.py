@@ -50,12 +50,14 @@ def places(n: int) -> np.ndarray:
 
 
 def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``limit`` bytes of text, never splitting a row."""
+    """The batches in even pieces of about ``limit`` bytes of text, never splitting a row."""
     for batch in batches:
         offsets = _offsets(text_of(batch, column))
+        total = int(offsets[-1] - offsets[0])
+        step = -(-total // max(1, round(total / limit)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 
