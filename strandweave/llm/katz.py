@@ -1,20 +1,21 @@
 """Katz backoff language model over words, trained and evaluated in exchanges.
 
-Tokens are lower-cased words and one end per document. The model is a bigram over classes with a unigram below
-it: each of the most frequent words (at most ``VOCABULARY``, a parameter, so tables of classes may be broadcast) is
-a class of its own, all other words share the class of rare words, within which they have
-their own unigram probability; one further type stands for every word never seen in training.
+Tokens are lower-cased words and one end per document. The model is a bigram over words with a unigram below
+it; one further type stands for every word never seen in training. Every word has its own bigrams, as token and as
+context: words are known by 64-bit hashes, and their pairs meet in partitions. The most frequent words (at most
+``VOCABULARY``, a parameter, so tables of them may be broadcast) only travel in another way, as classes: the
+scores do not depend on how many they are.
 
 * Counts up to ``CUT`` are discounted by Good-Turing (absolute discounting where the counts of counts don't
   admit it), greater ones by ``LARGE`` tokens, so every context keeps some mass for backing off.
-* P(class | context) is the discounted count over the context's count where the pair was seen, else
-  the context's weight times P(class); the weight is the mass left over divided by the unigram mass of the classes
-  not seen there, so that each context sums to one.
-* P(word) and P(word | rare) use the counts of all words, however rare.
-
-Passes: word counts; then, per document, distinct class pairs and rare words meet over all documents, which
-gives counts, the sums of each context and each document's share of the score at once; then shares are summed. A
-frequent context is spread over ranges in proportion to its count. Pair and context tables are returned by ``train``'s
+* P(word | context) is the discounted count over the context's count where the pair was seen, else
+  the context's weight times P(word); the weight is the mass left over divided by the unigram mass of the words
+  not seen there, so that each context sums to one. After a word never seen in training it is P(word).
+
+Passes: word counts; then, per document, distinct pairs meet over all documents, which gives counts, the sums of
+each frequent context and each document's share of the score at once; then pairs seen in rare contexts meet what
+documents ask of these contexts; then shares are summed. Pairs of two frequent words are spread over ranges in
+proportion to the context's count, pairs with a rare word are with that word, so its count is their sum. Pair and context tables are returned by ``train``'s
 stage as Parquet in the shared folder.
 
 The key is an integer. Null texts are empty: one end token. A null key trains. Repeated rows are documents of their own.
@@ -69,12 +70,12 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """Classes, and what is needed of the words."""
+    """Frequent words, and what is needed of all words."""
 
     hashes: np.ndarray  # of the words that are classes, sorted
-    counts: np.ndarray  # of each class as a token, by class
+    counts: np.ndarray  # of each class as a token, by class; none of RARE, which stands for words of their own
     context: np.ndarray  # of each class as a context
-    p: np.ndarray  # P(class)
+    p: np.ndarray  # P(word) of each class
     d: np.ndarray  # discounts of word counts
     total: int
     types: int
@@ -85,10 +86,9 @@ class Unigrams:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, at + WORDS, RARE)
 
-    def within_rare(self, c: np.ndarray) -> np.ndarray:
-        """P(word | rare) of words counted c times; 0 stands for the type never seen."""
-        seen = discounted(np.maximum(c, 1), self.d) / self.total if self.total else np.zeros(len(c))
-        return np.where(c > 0, seen, self.unseen) / self.p[RARE]
+    def p_word(self, c: np.ndarray) -> np.ndarray:
+        """P(word) of words counted c times; 0 stands for the type never seen."""
+        return np.where(c > 0, discounted(np.maximum(c, 1), self.d) / max(1, self.total), self.unseen)
 
     unseen: float = 1.0
 
@@ -130,7 +130,7 @@ def unigrams(counts: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
     seen = counts.agg(F.count("*").alias("types"), F.sum("c").alias("total"), F.sum(F.when(F.col("c") > CUT, 1).otherwise(0)).alias("n_large"), spent, F.max(F.when(F.col("w") == end, F.col("c"))).alias("ends"), *sums).first()
     types, total = seen["types"], seen["total"] or 0
     if not total:
-        p = np.array([0.5, 0.5, 0.0])
+        p = np.array([0.5, 0.0, 0.0])
         return Unigrams(np.zeros(0, _U), np.zeros(3, np.int64), np.zeros(3, np.int64), p, discounts([0] * (CUT + 2)), 0, 0, 0.5)
     n = [0, *(seen[f"n{r}"] or 0 for r in range(1, CUT + 2))]
     d = discounts(n)
@@ -147,12 +147,11 @@ def unigrams(counts: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
     c = np.array([r["c"] for r in top], np.int64)
     order = np.argsort(w)
     ends = seen["ends"] or 0
-    counted = np.concatenate(([ends, total - ends - int(c.sum()), 0], c[order]))
+    counted = np.concatenate(([ends, 0, 0], c[order]))
     context = counted.copy()
     context[END], context[START] = 0, ends
     p = discounted(counted, d) / total
     p[RARE] = p[START] = 0
-    p[RARE] = 1 - p.sum()
     return Unigrams(w[order], counted, context, p, d, total, types, unseen)
 
 
@@ -160,8 +159,20 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1e-300))
 
 
+def added(stretch, doc, columns):
+    """Sums of the columns, of which each is made as it is needed, over the rows of a document."""
+    order = np.lexsort((doc, stretch))
+    stretch, doc = stretch[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], (stretch[1:] != stretch[:-1]) | (doc[1:] != doc[:-1]))))
+    return stretch[new], doc[new], *(np.add.reduceat(c[order], new) for c in columns)
+
+
 def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
-    """What documents and pairs add up to, as PARTS: kind 0, a stretch's documents; 1, shares of them; 2, a context."""
+    """What documents and pairs add up to, as PARTS.
+
+    Kind 0, a stretch's documents; 1, shares of them; 2, a frequent context (RARE: all others); 3, what documents ask of
+    frequent contexts. Of rare contexts, with the range of hashes as ``context``: 4, pairs seen there; 5, what documents ask.
+    """
     spark = docs.sparkSession
     at = spark.sparkContext.broadcast(model)
     buckets = X.buckets_of(docs)
@@ -180,23 +191,24 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         n = docs_held = 0
 
         def flush(stretch: int):
-            keys, nulls, out, tokens, known, more, ctx, pair_doc, pair, rare_doc, rare = (np.concatenate(c) for c in zip(*held, strict=True))
+            keys, nulls, out, tokens, known, more, ctx, *found = (np.concatenate(c) for c in zip(*held, strict=True))
             roster = [keys, nulls.astype(np.int8), out.astype(np.int8), tokens, known, more.view(np.int64), ctx.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array([stretch % buckets], pa.int32()), pa.array([0], pa.int32()), pa.array([stretch]), pa.array([X.pack(roster)], pa.binary())], schema=arrow)
-            for kind, doc, key in ((1, pair_doc, pair), (2, rare_doc, rare)):
+            for kind, doc, key, *other in ((1, *found[:2]), (2, *found[2:5]), (3, *found[5:])):
                 if not len(key):
                     continue
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-                times = np.diff(np.concatenate((first, [len(key)])))
-                doc, key = doc[first], key[first]
+                whole = mix(other[0].astype(_U)) ^ key if other else key
+                order = np.lexsort((whole, doc))
+                doc, whole = doc[order], whole[order]
+                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1]))))
+                times = np.diff(np.concatenate((first, [len(doc)])))
+                doc, key, other = doc[first], key[order[first]], [c[order[first]] for c in other]
                 if kind == 1:
                     v, w = (key >> _U(_BITS)).astype(np.int64), (key & _U(2**_BITS - 1)).astype(np.int64)
                     salt = (mix(w.astype(_U)) >> _U(33)).astype(np.int64) % spread_over[v]
                     key = mix(v.astype(_U) << _U(24) | salt.astype(_U)) >> _U(40) << _U(40) | key
                 signed = np.where(out[doc], -times, times).astype(np.int32)
-                for b in X.blobs(key, [doc.astype(np.int32), signed], buckets):
+                for b in X.blobs(key, [*other, doc.astype(np.int32), signed], buckets):
                     k = b.num_rows
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * k, pa.int32()), pa.array([stretch] * k), b.column(1)], schema=arrow)
 
@@ -221,8 +233,16 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
             ctx = -np.bincount(token_doc, log_context[before], docs_here)
             keys = batch.column(0)
             out = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
-            rare = cls == RARE
-            held.append((np.asarray(keys.fill_null(0)).astype(np.int64), np.asarray(keys.is_null().to_numpy(zero_copy_only=False)), out, s.n_words + 1, known.astype(np.int64), more, ctx, token_doc + docs_held, before.astype(_U) << _U(_BITS) | tokens.astype(_U), doc[rare] + docs_held, words[rare]))
+            hashed = np.zeros(len(tokens), _U)
+            hashed[np.arange(len(words)) + doc] = words
+            hashed_before = np.concatenate((np.zeros(1, _U), hashed[:-1]))
+            rare, rare_before = tokens == RARE, before == RARE
+            both, late = ~rare & ~rare_before, ~rare & rare_before
+            token_doc += docs_held
+            found = [token_doc[both], (before.astype(_U) << _U(_BITS) | tokens.astype(_U))[both]]
+            found += [token_doc[rare], hashed[rare], np.where(rare_before, hashed_before, before.astype(_U))[rare].view(np.int64)]
+            found += [token_doc[late], hashed_before[late], tokens[late].astype(np.int32)]
+            held.append((np.asarray(keys.fill_null(0)).astype(np.int64), np.asarray(keys.is_null().to_numpy(zero_copy_only=False)), out, s.n_words + 1, known.astype(np.int64), more, ctx, *found))
             n += len(tokens)
             docs_held += docs_here
             if n >= STRETCH:
@@ -231,13 +251,6 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         if n:
             yield from flush(task << 24 | stretches)
 
-    def added(stretch, doc, columns):
-        """Sums of the columns, of which each is made as it is needed, over the rows of a document."""
-        order = np.lexsort((doc, stretch))
-        stretch, doc = stretch[order], doc[order]
-        new = np.flatnonzero(np.concatenate(([True], (stretch[1:] != stretch[:-1]) | (doc[1:] != doc[:-1]))))
-        return stretch[new], doc[new], *(np.add.reduceat(c[order], new) for c in columns)
-
     def shares(sums):
         """One row per stretch with the sums of its documents: counts by r, known, score, more."""
         stretch, doc, *columns = (np.concatenate(c) for c in zip(*sums, strict=True))
@@ -250,35 +263,56 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
     def row(kind, stretch, context, sums, blob):
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([stretch], pa.int64()), pa.array([context], pa.int32()), pa.array([sums], pa.list_(pa.float64())), pa.array([blob], pa.binary())], names=["kind", "stretch", "context", "sums", "blob"])
 
-    def pairs(key, doc, times, stretch, m, sums, contexts):
-        new = np.concatenate(([True], key[1:] != key[:-1]))
+    def outward(kind, key, columns):
+        for b in X.blobs(key, columns, buckets):
+            k = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.nulls(k, pa.int64()), b.column(0), pa.nulls(k, pa.list_(pa.float64())), b.column(1)], names=["kind", "stretch", "context", "sums", "blob"])
+
+    def pairs(kind, key, other, doc, times, stretch, m, sums, contexts):
+        """Rows in order of key and other: pairs of classes (1), a rare word and what comes before it (2), a rare context and the class after it (3)."""
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])))
         group = np.cumsum(new) - 1
-        c = np.add.reduceat(np.maximum(times, 0), np.flatnonzero(new)).astype(np.int64)
-        v, w = (key >> _U(_BITS) & _U(2**_BITS - 1)).astype(np.int32), (key & _U(2**_BITS - 1)).astype(np.int32)
+        trained = np.maximum(times, 0)
+        c = np.add.reduceat(trained, np.flatnonzero(new)).astype(np.int64)
         each, size = c[group].astype(np.int32), abs(times)
+        known = more = None
+        if kind == 1:
+            v, w = (key >> _U(_BITS) & _U(2**_BITS - 1)).astype(np.int32), (key & _U(2**_BITS - 1)).astype(np.int32)
+            p, hashed = m.p[w], key
+        elif kind == 2:
+            word = np.concatenate(([True], key[1:] != key[:-1]))
+            cw = np.add.reduceat(trained, np.flatnonzero(word)).astype(np.int64)[np.cumsum(word) - 1]
+            hashed = other.view(_U)
+            v = np.where(hashed < _U(2**_BITS), hashed, _U(RARE)).astype(np.int32)
+            p = m.p_word(cw)
+            known, more = np.where(cw > 0, size, 0), size * np.log10(cw + 1)
+        else:
+            v, hashed = np.full(len(key), RARE, np.int32), key
+            p, cw = m.p[other], m.counts[other]
         unseen = each == 0
         score = np.where(each > CUT, size * np.log10(np.maximum(each - LARGE, 0.5)), 0.0)
-        score[unseen] += (size * (_log(m.p[w]) + np.where(m.context[v] > 0, _log(m.context[v]), 0)))[unseen]
+        score[unseen] += (size * (_log(p) + np.where(m.context[v] > 0, _log(m.context[v]), 0)))[unseen]
+        if kind == 2:  # each such word is the context of one token
+            score -= size * _log(np.maximum(cw, 1))
         counted = (np.where(each == r, size, 0).astype(np.int32) for r in range(1, CUT + 1))
-        sums.append(added(stretch, doc, itertools.chain(counted, (np.zeros(len(size), t) if t else score for t in (np.int32, None, np.float64)))))
+        last = (np.zeros(len(size), np.int32) if known is None else known, score, np.zeros(len(size)) if more is None else more)
+        sums.append(added(stretch, doc, itertools.chain(counted, last)))
         back = unseen & (m.context[v] > 0)
         for s in np.unique(stretch[back]):
             own = back & (stretch == s)
             yield row(3, int(s), None, None, X.pack([doc[own].astype(np.int32), v[own], size[own].astype(np.int32)]))
-        gv, gw = v[new][c > 0], w[new][c > 0]
+        asked = unseen & (v == RARE)
+        if asked.any():
+            yield from outward(5, hashed[asked], [doc[asked].astype(np.int32), size[asked].astype(np.int32), stretch[asked]])
+        seen = np.flatnonzero(new)[c > 0]
         c = c[c > 0]
-        names, place = np.unique(gv, return_inverse=True)
-        table = [*(np.bincount(place, c == r, len(names)) for r in range(1, CUT + 2)), np.bincount(place, np.where(c > CUT, c - LARGE, 0), len(names)), np.bincount(place, m.p[gw], len(names))]
+        rare = v[seen] == RARE
+        if rare.any():
+            yield from outward(4, hashed[seen[rare]], [c[rare], cw[seen[rare]].astype(np.int64)])
+        names, place = np.unique(v[seen], return_inverse=True)
+        table = [*(np.bincount(place, c == r, len(names)) for r in range(1, CUT + 2)), np.bincount(place, np.where(c > CUT, c - LARGE, 0), len(names)), np.bincount(place, p[seen], len(names))]
         contexts.append((names, *table))
 
-    def rares(key, doc, times, stretch, m, sums, contexts):
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        c = np.add.reduceat(np.maximum(times, 0), np.flatnonzero(new)).astype(np.int64)[np.cumsum(new) - 1]
-        size = abs(times)
-        none = [np.zeros(len(size), np.int32)] * CUT
-        sums.append(added(stretch, doc, [*none, np.where(c > 0, size, 0), size * _log(m.within_rare(c)), size * np.log10(c + 1)]))
-        yield from ()
-
     def summed(contexts):
         names, *table = (np.concatenate(c) for c in zip(*contexts, strict=True))
         names, place = np.unique(names, return_inverse=True)
@@ -288,25 +322,32 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
 
     def work(batches):
         m = at.value
-        held: dict[int, list] = {1: [], 2: []}
+        held: dict[int, list] = {1: [], 2: [], 3: []}
         last = None
 
         def flush():
             sums, contexts = [], []
-            for kind, f in ((1, pairs), (2, rares)):
+            for kind in (1, 2, 3):
                 if not held[kind]:
                     continue
-                key, doc, times, stretch = (np.concatenate(c) for c in zip(*held[kind], strict=True))
+                columns = [np.concatenate(c) for c in zip(*held[kind], strict=True)]
                 held[kind] = []
-                key = key.view(_U)
-                order = np.argsort(key)
-                key, doc, times, stretch = key[order], doc[order], times[order], stretch[order]
+                columns[0] = columns[0].view(_U)
+                order = np.argsort(columns[0])
+                for i, c in enumerate(columns):
+                    columns[i] = c[order]
                 del order
-                at = 0
+                key, at = columns[0], 0
                 while at < len(key):  # pieces that end with a key
                     to = min(len(key), at + PIECE)
                     to = int(np.searchsorted(key, key[to - 1], "right"))
-                    yield from f(key[at:to], doc[at:to], times[at:to], stretch[at:to], m, sums, contexts)
+                    own = [c[at:to] for c in columns]
+                    if kind == 1:
+                        own.insert(1, np.zeros(to - at, np.int8))
+                    else:
+                        order = np.lexsort((own[1], own[0]))
+                        own = [c[order] for c in own]
+                    yield from pairs(kind, *own, m, sums, contexts)
                     at = to
             if sums:
                 yield from shares(sums)
@@ -321,8 +362,8 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
                 if kind == 0:
                     yield row(0, stretch, None, None, blob)
                 else:
-                    key, doc, times = X.opened(blob)
-                    held[kind].append((key, doc, times, np.full(len(key), stretch)))
+                    columns = X.opened(blob)
+                    held[kind].append((*columns, np.full(len(columns[0]), stretch)))
         yield from flush()
 
     sent = docs.mapInArrow(run, sent_kind)
@@ -330,7 +371,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
 
 
 def backoff(parts: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-    """Discounts of pair counts, and log10 of the weight of each context; a row per context comes to the driver."""
+    """Discounts of pair counts, and log10 of the weight of each frequent context; a row for each comes to the driver."""
     sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(CUT + 3)]
     rows = parts.where("kind = 2").groupBy("context").agg(*sums).collect()
     table = np.zeros((len(model.counts), CUT + 3))
@@ -344,6 +385,46 @@ def backoff(parts: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
     return d, np.where(model.context > 0, _log(weight), 0)
 
 
+def rare_backoff(parts: DataFrame, model: Unigrams, d: np.ndarray) -> DataFrame:
+    """Shares of documents (kind 6) in the score for what they ask of rare contexts: log10 of count and weight."""
+    of_words = Unigrams(model.hashes[:0], model.counts[:0], model.context[:0], model.p[:0], model.d, model.total, model.types, model.unseen)
+
+    def work(batches):
+        held: dict[int, list] = {4: [], 5: []}
+        last = None
+
+        def flush():
+            if held[4] and held[5]:
+                asked, doc, n, stretch = (np.concatenate(c) for c in zip(*held[5], strict=True))
+                names = np.unique(asked)
+                count, used, mass = np.zeros((3, len(names)))
+                for v, c, cw in held[4]:
+                    at = np.minimum(np.searchsorted(names, v), len(names) - 1)
+                    own = names[at] == v
+                    at, c = at[own], c[own]
+                    for total, x in ((count, c), (used, discounted(c, d)), (mass, of_words.p_word(cw[own]))):
+                        total += np.bincount(at, x, len(names))
+                weight = (1 - used / np.maximum(count, 1)) / np.maximum(1 - mass, 1e-12)
+                each = np.where(count > 0, _log(count) + _log(weight), 0)
+                stretch, doc, total = added(stretch, doc, [n * each[np.searchsorted(names, asked)]])
+                edges = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1], [True])))
+                blobs = [X.pack([doc[a:b], total[a:b].view(np.int64)]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                k = len(blobs)
+                yield pa.RecordBatch.from_arrays([pa.array([6] * k, pa.int32()), pa.array(stretch[edges[:-1]]), pa.array(blobs, pa.binary())], names=["kind", "stretch", "blob"])
+            held[4], held[5] = [], []
+
+        for batch in batches:
+            for b, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != last:
+                    yield from flush()
+                    last = b
+                held[kind].append(X.opened(blob))
+        yield from flush()
+
+    sent = parts.where("kind in (4, 5)").select(F.col("context").alias("bucket"), "kind", "blob")
+    return X.dealt(sent).mapInArrow(work, "kind int, stretch long, blob binary")
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """Rows whose crc32(key) modulo 7 is 2 are held out of training."""
     spark = docs.sparkSession
@@ -369,6 +450,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                     doc, v, n = X.unpack(blob)
                     np.add.at(total_score, doc, n * weight[v])
                     continue
+                if kind == 6:
+                    doc, s = X.unpack(blob)
+                    total_score[doc] += s.view(np.float64)
+                    continue
                 doc, *r, k, s, m = X.unpack(blob)
                 known[doc] += k
                 total_score[doc] += s.view(np.float64) + np.array(r).T @ factor
@@ -377,7 +462,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for kind, stretch, _, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, stretch, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if stretch != last:
                     if roster is not None:
                         yield from flush()
@@ -390,7 +475,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             yield from flush()
 
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    rows = parts.where("kind <> 2").repartition("stretch").sortWithinPartitions("stretch", "kind")
+    shares = parts.where("kind in (0, 1, 3)").select("kind", "stretch", "blob").unionByName(rare_backoff(parts, model, d))
+    rows = shares.repartition("stretch").sortWithinPartitions("stretch", "kind")
     return rows.mapInArrow(finish, kinds)
 
 

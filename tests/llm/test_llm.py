@@ -134,6 +134,49 @@ def test_katz(spark):
     assert katz.score(df.limit(0)).count() == 0
 
 
+def katz_by_hand(train, tokens):
+    """log10 of P(tokens): START is 0, an end None."""
+    words, pairs = collections.Counter(), collections.Counter()
+    for t in train:
+        words.update(t)
+        pairs.update(zip([0, *t[:-1]], t, strict=True))
+
+    def factors(counts):
+        n = collections.Counter(counts.values())
+        return katz.discounts([0, *(n[r] for r in range(1, katz.CUT + 2))])
+
+    cut = lambda c, d: d[c] * c if c <= katz.CUT else c - katz.LARGE
+    d, dp, total = factors(words), factors(pairs), sum(words.values())
+    p = {w: cut(c, d) / total for w, c in words.items()}
+    left = 1 - sum(p.values())
+    out = 0
+    for v, w in zip([0, *tokens[:-1]], tokens, strict=True):
+        after = {b: c for (a, b), c in pairs.items() if a == v and (a is not None)}
+        n = sum(after.values())
+        x = p.get(w, left)
+        if w in after:
+            x = cut(after[w], dp) / n
+        elif after:
+            x *= (1 - sum(cut(c, dp) for c in after.values()) / n) / (1 - sum(p[b] for b in after))
+        out += np.log10(x)
+    return out
+
+
+def test_katz_keeps_every_word_apart(spark):
+    rng = random.Random(11)
+    texts = [" ".join("w%d" % min(int(rng.paretovariate(0.7)), 60 + i) for _ in range(rng.randint(0, 30))) for i in range(60)]
+    df = docs(spark, texts)
+    tokens = {i: [*words_of(t, True), None] for i, t in enumerate(texts)}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 0 < len(train) < len(texts)
+    want = {i: katz_by_hand(train, t) for i, t in tokens.items()}
+    for vocabulary in (0, 5, 60_000):
+        out = katz.score(df, vocabulary=vocabulary).collect()
+        assert len(out) == len(texts)
+        for r in out:
+            assert abs(r.score - want[r.doc_id]) < 1e-6, (vocabulary, r.doc_id)
+
+
 def test_language(spark):
     rng = random.Random(1)
     vocab = {"en": ["the", "with", "and", "thing"], "de": ["der", "mit", "und", "schön"], "fr": ["le", "avec", "et", "où"]}
