@@ -13,6 +13,8 @@ from strandweave.llm import jaccard, language, packing, quality, substrings
 from strandweave.llm.frames import crc_remainder, free_name, load
 from strandweave.plans.staging import cut, stage
 
+SHINGLE, PERCENT = 5, 80  # near copies of the stage; those of op2 are its own
+
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; texts that are null or without a letter go."""
@@ -33,7 +35,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of linked documents, the one with the smallest id; documents without words stay."""
     uid = free_name(docs, "uid")
     hashed = docs.withColumn(uid, F.xxhash64(*docs.columns))
-    named = cut(jaccard.classes_and_components(hashed, ["doc_id", uid], "doc_id"))
+    named = cut(jaccard.classes_and_components(hashed, ["doc_id", uid], "doc_id", shingle=SHINGLE, percent=PERCENT))
     grouped = named.where("cls is not null").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cls")).alias("alone"))
     first = grouped.agg(F.min(F.struct("doc_id", uid)).alias("m")).select(F.col(f"m.{uid}").alias("kept_uid"))
     empty = named.where("cls is null").select(F.col(uid).alias("kept_uid"))

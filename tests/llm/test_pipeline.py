@@ -24,3 +24,19 @@ def test_stages_keep_columns_and_pack(spark, tmp_path):
     assert "p30" not in left[3] + left[4] and left[0] == base and len(left[3].split()) == 120
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in packed) == [0, 3, 4, 8]
+
+
+def kept_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near(spark, docs, "").collect())
+
+
+def test_near_copies_share_four_fifths_of_five_word_shingles(spark):
+    words = ["w%d" % i for i in range(200)]
+    near, far = list(words), list(words)
+    for i in (30, 70, 110, 150):
+        near[i] = "new%d" % i
+    for i in (30, 60, 90, 120, 150):  # 171 of 221
+        far[i] = "other%d" % i
+    texts = [" ".join(w) for w in (words, near, far)]
+    assert kept_of(spark, list(enumerate(texts))) == [(0, texts[0]), (2, texts[2])]
