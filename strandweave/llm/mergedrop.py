@@ -1,10 +1,10 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Merges are taken from an agenda, best score first and leftmost among equals. A candidate
-that comes up is skipped if a keyed hash of it (seed, variant, unit, place, piece) falls under the dropout rate,
-so one seed always gives one segmentation, on any number of tasks. Each
-occurrence of a unit draws one of ``VARIANTS`` variants by a keyed hash of the document key and its place; a
-unit is segmented once per variant and then looked up. The new units of a batch go through their agendas in
+that comes up is skipped if a keyed hash of it (seed, document key, occurrence of the unit, place, piece) falls under the
+dropout rate, so one seed always gives one segmentation, on any number of tasks, and every occurrence draws for
+itself. Occurrences whose draws skip nothing look up what their unit becomes without dropout; all
+others go through an agenda of their own. Those of a batch go through their agendas in
 step, as rows of arrays; long ones, and those with characters that only longer pieces hold, one by one with the same result.
 
 Characters outside the vocabulary become byte pieces, a literal U+2581 too, so decoding gives back the text,
@@ -30,16 +30,16 @@ from strandweave.llm.textscan import mix, slices, text_of
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 20
-VARIANTS = 4
 CACHE_UNITS = 800_000
 LOCKSTEP = 64
+DRAWS = 1 << 17
 _NONE = np.iinfo(np.int32).max
 _ALL = 2**64 - 1
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def _drawn(key: int, place: int, piece: int) -> int:
-    """32 bits for a candidate: its unit's key, its place in the unit and the piece it would make."""
+    """32 bits for a candidate: its occurrence's key, its place in the unit and the piece it would make."""
     x = key ^ (place << 32 | piece)
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
     x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
@@ -51,7 +51,7 @@ def _drawn_many(key: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.nda
 
 
 class MergeDropEncoder:
-    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -63,9 +63,9 @@ class MergeDropEncoder:
         self.score = {p: -sp.get_score(i) for p, i in self.id.items()}
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in byte}
         self.bytes = [bytes((int(p[3:5], 16),)) if i in byte else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.seed, self.variants = seed, variants if dropout else 1
+        self.seed = seed
         self.limit = int(dropout * 2**32)
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # without dropout: ids, and the candidates that come up
         self.literal = np.array([self.byte_id[b] for b in SPACE.encode()], "<u4").tobytes()
         self._tables(n)
 
@@ -90,11 +90,8 @@ class MergeDropEncoder:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.pair_into[at], -1)
 
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(unit, self.seed * 1021 + variant)
-
-    def segment(self, unit: str, variant: int) -> list[str]:
-        """The agenda over one unit."""
+    def segment(self, unit: str, key: int, taken: list[int] | None = None) -> list[str]:
+        """The agenda over one unit; with ``taken`` nothing is skipped and the candidates are added to it."""
         part = list(unit)
         n = len(part)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -104,13 +101,15 @@ class MergeDropEncoder:
             if s is not None:
                 agenda.append((s, i, i + 1, part[i] + part[i + 1]))
         heapq.heapify(agenda)
-        key = self._key(unit, variant) if self.limit else 0
+        limit = self.limit if taken is None else 0
         while agenda:
             _, i, j, both = heapq.heappop(agenda)
             if not part[i] or right[i] != j or len(part[i]) + len(part[j]) != len(both):
                 continue
-            if self.limit and _drawn(key, i, self.id[both]) < self.limit:
+            if limit and _drawn(key, i, self.id[both]) < limit:
                 continue
+            if taken is not None:
+                taken.append(i << 32 | self.id[both])
             part[i], part[j] = both, ""
             k = right[i] = right[j]
             if k < n:
@@ -125,17 +124,18 @@ class MergeDropEncoder:
                     heapq.heappush(agenda, (s, h, i, part[h] + both))
         return [p for p in part if p]
 
-    def ids_of(self, unit: str, variant: int) -> bytes:
+    def ids_of(self, unit: str, key: int, taken: list[int] | None = None) -> bytes:
         out = []
-        for p in self.segment(unit, variant):
+        for p in self.segment(unit, key, taken):
             i = self.id.get(p)
             out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
         return np.array(out, "<u4").tobytes()
 
-    def _agendas(self, chars: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def _agendas(self, chars: np.ndarray, key: np.ndarray, taken: list | None = None) -> np.ndarray:
         """The agendas of many units, a step of each at a time; ``chars`` has a unit per row, filled up with -1.
 
         An agenda is a row of ranks, by the place where a candidate begins; gives the pieces, -1 between them.
+        With ``taken`` nothing is skipped and the candidates of each step are added to it.
         """
         m, width = chars.shape
         sym = np.full((m, width + 1), -1, np.int32)
@@ -155,7 +155,9 @@ class MergeDropEncoder:
                 return sym[:, :-1]
             both = into[live, i]
             go, a = live, i
-            if self.limit:
+            if taken is not None:
+                taken.append((live, i.astype(np.uint64) << np.uint64(32) | both.astype(np.uint64)))
+            elif self.limit:
                 skipped = _drawn_many(key[live], i, both) < self.limit
                 rank[live[skipped], i[skipped]] = _NONE
                 go, a, both = live[~skipped], i[~skipped], both[~skipped]
@@ -175,8 +177,8 @@ class MergeDropEncoder:
             found = self._into(sym[go, h], both)
             into[go, h], rank[go, h] = found, self.rank[found]
 
-    def ids_of_many(self, wanted: list[tuple[int, str]]) -> list[bytes]:
-        """``ids_of`` of each (variant, unit)."""
+    def ids_of_many(self, wanted: list[tuple[int, str]], taken: list[bytes] | None = None) -> list[bytes]:
+        """``ids_of`` of each (key, unit); a list ``taken`` of the same length gets the candidates of each, none skipped."""
         out: list[bytes] = [b""] * len(wanted)
         size = np.fromiter((len(u) for _, u in wanted), np.int64, len(wanted))
         start = np.cumsum(size) - size
@@ -184,7 +186,10 @@ class MergeDropEncoder:
         plain = np.logical_and.reduceat(chars != -1, start)
         lone = ~plain | (size > LOCKSTEP)
         for i in np.flatnonzero(lone).tolist():
-            out[i] = self.ids_of(wanted[i][1], wanted[i][0])
+            own_taken = None if taken is None else []
+            out[i] = self.ids_of(wanted[i][1], wanted[i][0], own_taken)
+            if taken is not None:
+                taken[i] = np.array(own_taken, np.uint64).tobytes()
         rest = np.flatnonzero(~lone)
         rest = rest[np.argsort(size[rest], kind="stable")]
         edges = np.searchsorted(size[rest], [0, 4, 6, 8, 10, 13, 18, 32, LOCKSTEP], "right")
@@ -195,8 +200,15 @@ class MergeDropEncoder:
                 place = np.arange(width)
                 inside = place < size[own][:, None]
                 rows = np.where(inside, chars[np.where(inside, start[own][:, None] + place, 0)], -1)
-                key = np.array([self._key(wanted[i][1], wanted[i][0]) for i in own.tolist()] if self.limit else np.zeros(len(own)), np.uint64)
-                pieces = self._agendas(rows, key)
+                key = np.array([wanted[i][0] for i in own.tolist()], np.uint64)
+                steps = None if taken is None else [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                pieces = self._agendas(rows, key, steps)
+                if taken is not None:
+                    of, candidate = (np.concatenate(c) for c in zip(*steps, strict=True))
+                    listed = candidate[np.argsort(of, kind="stable")].tobytes()
+                    cuts = (8 * np.cumsum(np.bincount(of, minlength=len(own)))).tolist()
+                    for i, a, b in zip(own.tolist(), [0, *cuts], cuts):
+                        taken[i] = listed[a:b]
                 own_row, _ = held = np.nonzero(pieces != -1)
                 ids = pieces[held]
                 count = np.ones(len(ids), np.int64)
@@ -213,22 +225,41 @@ class MergeDropEncoder:
         return out
 
     def _units(self, text: str, key: int) -> tuple[list[str], list[np.ndarray]]:
-        """Units in turn, the empty one for a literal U+2581, and the variants drawn for them."""
+        """Units in turn, the empty one for a literal U+2581, and the keys of these occurrences."""
         units, drawn = [], []
         for k, stretch in enumerate(text.split(SPACE) if text else ()):
             if k:
                 units.append("")
-                drawn.append(np.zeros(1, np.int64))
+                drawn.append(np.zeros(1, np.uint64))
             own = _UNIT.findall(stretch.replace(" ", SPACE) if k else SPACE + stretch.replace(" ", SPACE))
             with np.errstate(over="ignore"):
                 draw = mix(np.arange(len(own), dtype=np.uint64) + mix(np.uint64(key & 2**64 - 1) ^ np.uint64(self.seed + 1000 * k)))
             units += own
-            drawn.append((draw % np.uint64(self.variants)).astype(np.int64))
+            drawn.append(mix(draw))
         return units, drawn
 
+    def _skipping(self, code: np.ndarray, key: np.ndarray, candidates: list[bytes]) -> np.ndarray:
+        """The occurrences that skip one or more of the candidates that come up without dropout."""
+        table = np.frombuffer(b"".join(candidates), np.uint64)
+        size = np.fromiter(map(len, candidates), np.int64, len(candidates)) // 8
+        start = np.cumsum(size) - size
+        out = [np.zeros(0, np.int64)]
+        n = np.cumsum(size[code])
+        at = 0
+        while at < len(code):
+            to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + DRAWS, "right")))
+            own = code[at:to]
+            each = np.repeat(np.arange(to - at), size[own])
+            before = np.cumsum(size[own]) - size[own]
+            candidate = table[np.arange(len(each)) + np.repeat(start[own] - before, size[own])]
+            under = mix(key[at:to][each] ^ candidate) >> np.uint64(32) < self.limit
+            out.append(at + np.unique(each[under]))
+            at = to
+        return np.concatenate(out)
+
     def encode_many(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes; a key is that of the document."""
-        flat, drawn, ends = [], [np.zeros(0, np.int64)], [0]
+        flat, drawn, ends = [], [np.zeros(0, np.uint64)], [0]
         for t, k in zip(texts, keys, strict=True):
             own, draw = self._units(t, k)
             flat += own
@@ -236,25 +267,27 @@ class MergeDropEncoder:
             ends.append(len(flat))
         named = pa.array(flat, pa.string()).dictionary_encode()
         names = named.dictionary.to_pylist()
-        pair = np.asarray(named.indices, np.int64) * self.variants + np.concatenate(drawn)
-        seen = np.zeros(len(names) * self.variants, bool)
-        seen[pair] = True
-        wanted = [(p % self.variants, names[p // self.variants]) for p in np.flatnonzero(seen).tolist()]
+        code, key = np.asarray(named.indices, np.int64).copy(), np.concatenate(drawn)
         known = self.known
-        new = [w for w in wanted if w not in known and w[1]]
+        new = [u for u in names if u not in known and u]
         if len(known) + len(new) > CACHE_UNITS:
             known.clear()
-            new = [w for w in wanted if w[1]]
-        known[0, ""] = self.literal
+            new = [u for u in names if u]
+        known[""] = self.literal, b""
         if new:
-            known.update(zip(new, self.ids_of_many(new), strict=True))
-        found = [known[w] for w in wanted]
-        for w in new:
-            if len(w[1]) >= 100:
-                del known[w]
+            taken = [b""] * len(new)
+            known.update(zip(new, zip(self.ids_of_many([(0, u) for u in new], taken), taken, strict=True), strict=True))
+        found, candidates = (list(c) for c in zip(*(known[u] for u in names), strict=True)) if names else ([], [])
+        for u in new:
+            if len(u) >= 100:
+                del known[u]
+        if self.limit:
+            differ = self._skipping(code, key, candidates)
+            code[differ] = len(names) + np.arange(len(differ))
+            if len(differ):
+                found += self.ids_of_many([(k, flat[i]) for i, k in zip(differ.tolist(), key[differ].tolist(), strict=True)])
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        code = (np.cumsum(seen) - 1)[pair]
         to = np.cumsum(size[code])
         size, start = size[code], (np.cumsum(size) - size)[code]
         body = ids[np.arange(int(size.sum())) + np.repeat(start - (to - size), size)].tobytes()

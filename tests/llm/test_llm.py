@@ -223,6 +223,24 @@ def test_merge_dropout():
     assert drop.encode_many([], []) == []
 
 
+def test_merge_dropout_draws_by_occurrence():
+    path = packing.public_tokenizer("piece_bpe_32k.model")
+    plain, drop = mergedrop.MergeDropEncoder(path, 0.0), mergedrop.MergeDropEncoder(path, 0.1)
+    whole = plain.encode("a")
+    assert len(whole) == 4
+    n = 20_000
+    one = drop.encode(" ".join(["a"] * n), 3)  # a merge each; one skipped leaves two pieces
+    assert abs(len(one) // 4 / n - 1.1) < 0.01
+    many = drop.encode_many(["a"] * n, list(range(n)))
+    assert abs(sum(x != whole for x in many) / n - 0.1) < 0.01
+    assert len(set(drop.encode_many(["international"] * 500, list(range(500))))) > 10
+    texts = ["international thing\u2581 of a", "x" * 150 + " é\n日 the"]
+    for k, t in enumerate(texts):
+        units, keys = drop._units(t, k)
+        by_agenda = [drop.literal if not u else drop.ids_of(u, x) for u, x in zip(units, np.concatenate(keys).tolist(), strict=True)]
+        assert drop.encode(t, k) == b"".join(by_agenda)
+
+
 def test_token_attribution(spark):
     owner, crossing = tokencount.attribute(np.array([3, 7, 8]), np.array([0, 4, 5]), 8)
     assert owner.tolist() == [0, 2, 2] and crossing == 1
