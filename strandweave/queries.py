@@ -272,7 +272,7 @@ def e06_scaffold_sequences(spark, sf):
     members, contigs = _members(spark, sf)
     gaps = cut(_gaps(spark, sf))
     arcs = cut(E.adjacency(contigs, K_SIZE))
-    paths = cut(E.search_paths(gaps.where("kind = 'search'"), arcs, K_SIZE, 200, 10.0, most_steps=4))
+    paths = cut(E.search_paths(gaps.where("kind = 'search'"), arcs, K_SIZE, 200, 10.0))
     return E.scaffold_sequences(members, contigs, gaps, paths, K_SIZE, 200, 10.0)
 
 

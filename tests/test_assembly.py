@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandweave import queries
 from strandweave.functions import seq as Q
 from strandweave.operators import contigs as C
 from strandweave.operators import debruijn as G
@@ -117,3 +118,29 @@ def test_reassembles_a_random_genome(spark):
     longest = max((r.seq for r in out), key=len)
     assert len(longest) > 1200 and (longest in genome or rc(longest) in genome)
     assert Library().insert_size == 180
+
+
+def test_query_of_scaffolds_follows_long_chains(spark, monkeypatch):
+    k, rng = queries.K_SIZE, random.Random(21)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    inner = 6
+    genome = letters(100) + letters(5 * inner - (k - 1)) + letters(100)
+    # contigs of k + 4 letters, each 5 further on, from the end of the left one to the begin of the right one
+    seqs = {0: genome[:100], 1: genome[100 + 5 * inner - (k - 1) :]}
+    seqs |= {2 + i: genome[100 - (k - 1) + 5 * i :][: k + 4] for i in range(inner)}
+    seqs |= {20: genome[100 - (k - 1) : 100] + letters(5)}  # a dead end
+    gap = 5 * inner - (k - 1)
+    found, todo = [], [([0], -(k - 1))]
+    while todo:  # all paths, by brute force
+        path, n = todo.pop()
+        for b, s in seqs.items():
+            if seqs[path[-1]][-(k - 1) :] == s[: k - 1]:
+                if b == 1:
+                    found.append((abs(n - gap), len(path) + 1, [*path, b]))
+                elif n <= 300:
+                    todo.append(([*path, b], n + len(s) - (k - 1)))
+    assert min(found)[2] == [0, *range(2, 2 + inner), 1]
+    members = spark.createDataFrame([(0, 0, 0, gap), (0, 1, 1, 0)], "component_id long, ord long, contig_id long, gap_after long")
+    contigs = spark.createDataFrame(list(seqs.items()), "contig_id long, seq string")
+    monkeypatch.setattr(queries, "_members", lambda spark, sf: (members, contigs))
+    assert [r.seq for r in queries.e06_scaffold_sequences(spark, "").collect()] == [genome]
