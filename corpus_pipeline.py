@@ -36,7 +36,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     uid = free_name(docs, "uid")
     hashed = docs.withColumn(uid, F.xxhash64(*docs.columns))
     named = cut(jaccard.classes_and_components(hashed, ["doc_id", uid], "doc_id", shingle=SHINGLE, percent=PERCENT))
-    grouped = named.where("cls is not null").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cls")).alias("alone"))
+    grouped = named.where("cls is not null").groupBy("comp")
     first = grouped.agg(F.min(F.struct("doc_id", uid)).alias("m")).select(F.col(f"m.{uid}").alias("kept_uid"))
     empty = named.where("cls is null").select(F.col(uid).alias("kept_uid"))
     joined = hashed.join(first.unionByName(empty).distinct(), F.col(uid) == F.col("kept_uid"), "left_semi")

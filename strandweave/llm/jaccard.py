@@ -349,7 +349,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def classes_and_components(docs: DataFrame, keep: list[str], key: str, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The columns ``keep`` with n_shingles, cls (null without a set) and component_id, the smallest key reachable by links."""
+    """The columns ``keep`` with n_shingles, cls (null without a set), comp (the component's own label) and component_id, the smallest key reachable by links."""
     small_batches(docs.sparkSession)
     hashed = docs.select(*dict.fromkeys([*keep, key, text]), F.xxhash64(key, text).alias("__uid"))
     held = list(dict.fromkeys([*keep, key, "__uid"]))
@@ -380,9 +380,9 @@ def classes_and_components(docs: DataFrame, keep: list[str], key: str, text: str
 
     comps = labelled(classes.select("cls", "least"))
     least = comps.groupBy("comp").agg(F.min("least").alias("component_id")).withColumnRenamed("comp", "of")
-    by_class = comps.join(least, F.col("comp") == F.col("of"), "left").select(F.col("cls").alias("c"), "component_id")
+    by_class = comps.join(least, F.col("comp") == F.col("of"), "left").select(F.col("cls").alias("c"), "comp", "component_id")
     out = all_docs.join(by_class, F.col("cls") == F.col("c"), "left")
-    return out.withColumn("component_id", F.coalesce("component_id", F.when(F.col("cls").isNull(), F.col(key)))).select(*keep, "n_shingles", "cls", "component_id")
+    return out.withColumn("component_id", F.coalesce("component_id", F.when(F.col("cls").isNull(), F.col(key)))).select(*keep, "n_shingles", "cls", "comp", "component_id")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

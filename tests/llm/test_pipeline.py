@@ -40,3 +40,8 @@ def test_near_copies_share_four_fifths_of_five_word_shingles(spark):
         far[i] = "other%d" % i
     texts = [" ".join(w) for w in (words, near, far)]
     assert kept_of(spark, list(enumerate(texts))) == [(0, texts[0]), (2, texts[2])]
+
+
+def test_unrelated_texts_with_one_id_both_stay(spark):
+    a, b = (" ".join(c + str(i) for i in range(50)) for c in "ab")
+    assert kept_of(spark, [(7, a), (7, b), (8, b), (9, a)]) == [(7, a), (7, b)]
