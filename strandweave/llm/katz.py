@@ -15,8 +15,8 @@ scores do not depend on how many they are.
 Passes: word counts; then, per document, distinct pairs meet over all documents, which gives counts, the sums of
 each frequent context and each document's share of the score at once; then pairs seen in rare contexts meet what
 documents ask of these contexts; then shares are summed. Pairs of two frequent words are spread over ranges in
-proportion to the context's count, pairs with a rare word are with that word, so its count is their sum. Pair and context tables are returned by ``train``'s
-stage as Parquet in the shared folder.
+proportion to the context's count, pairs with a rare word are with that word, so its count is their sum. Pair counts of frequent contexts exist only in the exchange: no table of pairs or weights is
+written or returned, so no model is left that could score other texts.
 
 The key is an integer. Null texts are empty: one end token. A null key trains. Repeated rows are documents of their own.
 """
