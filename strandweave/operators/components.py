@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from strandweave.plans.staging import Rounds
 
-MAX_ROUNDS = 60
-
 
 def _canonical(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -36,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     alone = pairs.where("u = v").select("u").distinct()
     rounds = Rounds(edges.sparkSession, "components")
     now, seen = rounds.put(_canonical(pairs)), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         now = rounds.put(_canonical(_small_star(_canonical(_large_star(now)))))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -144,3 +144,11 @@ def test_query_of_scaffolds_follows_long_chains(spark, monkeypatch):
     contigs = spark.createDataFrame(list(seqs.items()), "contig_id long, seq string")
     monkeypatch.setattr(queries, "_members", lambda spark, sf: (members, contigs))
     assert [r.seq for r in queries.e06_scaffold_sequences(spark, "").collect()] == [genome]
+
+
+def test_components_run_until_labels_settle(spark, monkeypatch):
+    monkeypatch.setattr("strandweave.operators.components.MAX_ROUNDS", 1, raising=False)
+    ids = list(range(40))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    assert sorted((r.node, r.component) for r in connected_components(edges).collect()) == [(i, 0) for i in range(40)]
