@@ -83,8 +83,8 @@ def linearize(links: DataFrame, members: DataFrame, contigs: DataFrame, p: Param
     return cut(S.expand(S.linearize(links, placed, p.most_overlap), members))
 
 
-def fill_gaps(members: DataFrame, contigs: DataFrame, insert: int, delta: float, p: Parameters, wider: DataFrame | None = None) -> DataFrame:
-    """Sequences of the scaffolds; gaps without a path among the contigs are searched among those of ``wider``."""
+def fill_gaps(members: DataFrame, contigs: DataFrame, insert: int, delta: float, p: Parameters) -> DataFrame:
+    """Sequences of the scaffolds; gaps without a path among the contigs become N."""
     gaps = cut(E.classify(E.adjacent(members, contigs), p.k, p.gap_overlap, insert, delta))
     paths = cut(E.search_paths(gaps.where("kind = 'search'"), cut(E.adjacency(contigs, p.k)), p.k, insert, delta))
     return E.scaffold_sequences(members, contigs, gaps, paths, p.k, insert, delta)

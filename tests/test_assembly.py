@@ -1,3 +1,4 @@
+import inspect
 import random
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from strandweave.operators import links as L
 from strandweave.operators import mixture as M
 from strandweave.operators import scaffolds as S
 from strandweave.operators.components import connected_components
-from strandweave.plans.assembly import Library, Parameters, assemble_pipeline
+from strandweave.plans.assembly import Library, Parameters, assemble_pipeline, fill_gaps
 from strandweave.sources import files
 
 
@@ -152,3 +153,7 @@ def test_components_run_until_labels_settle(spark, monkeypatch):
     random.Random(3).shuffle(ids)
     edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
     assert sorted((r.node, r.component) for r in connected_components(edges).collect()) == [(i, 0) for i in range(40)]
+
+
+def test_fill_gaps_promises_no_wider_search():
+    assert "wider" not in inspect.signature(fill_gaps).parameters
