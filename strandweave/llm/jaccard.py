@@ -7,16 +7,21 @@ part holds at most ``SLACK`` of the differences, and all cells of the part but t
 the content of one choice of ``SECOND - SLACK`` cells of one part, so linked sets share one. Parts where a choice
 is empty say nothing; n1 has a part to spare for them, and sets with more of them emit the empty choices too.
 
-Classes with a common signature are compared in two rounds:
+Classes with a common signature are compared in two steps:
 
 1. every class with the hub of each of its signatures (a row per member, not per pair);
-2. where a signature still holds several components, all classes of different components, in blocks, by a parity
-   sketch whose distance never exceeds the number of differences. Few that are not linked get past it.
-
-What passes is checked on whole sets; components are those of the links that hold. No link between
+2. where a signature still holds several components, the classes of different components, in blocks inside a task. Each class
+   passes on its nearest ``NEAREST`` partners only; a group where some class has more comes again, with the next ones,
+   and pairs that have come into one component meanwhile are left out. So no step emits more than a constant number of rows per member, and no pair is dropped.
+   A pair that meets in several groups is taken up in the largest that both its classes name among their ``TOP`` largest ones.
+   Groups of more than ``SLAB`` classes are dealt to tasks as pairs of slabs.
+
+Both steps look at parity sketches first: of a set of n shingles 2n cells or more, so their distance never exceeds the number of
+differences and seldom falls far below. What passes is checked on whole sets of 64-bit hashes; components are those of the links that hold. No link between
 different components can be missed: any linked pair shares a signature, and was compared or was connected already.
 
-Classes are named by 64-bit hashes of their sets, and two sets are compared on 40-bit hashes of their shingles. Null and empty texts have no set and no link. Repeated rows are copies.
+Classes are named by 64-bit hashes of their sets. Null and empty texts have no set and no link. Repeated rows are copies; ties in size or distance are
+decided by the name of the class, and don't change components. Other columns of the input are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -41,9 +46,12 @@ SECOND = 3
 SLACK = 1
 SPARE = 1
 SMALL = 40
-SKETCH = 512
+CELLS = 512
+ROW_WORDS = 64
 STRETCH = 1_000_000
-BLOCK = 512
+NEAREST = 8
+TOP = 6
+SLAB = 2048
 _U = np.uint64
 _CHOICES = list(itertools.combinations(range(SECOND), SECOND - SLACK))
 
@@ -126,8 +134,22 @@ def signatures(x: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
 
 
 def sketch(x: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of SKETCH cells, as 64-bit words."""
-    return np.packbits(np.bincount((mix(x) >> _U(55)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(_U)
+    """Parity of the number of shingles in each of at least 2n cells, a power of two, as 64-bit words."""
+    cells = max(CELLS, 1 << (2 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((mix(x) & _U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).view(_U)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (in the last dimension) of ``words`` words, as if taken with so few cells."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of sketches, row by row."""
+    return np.bitwise_count(a ^ b).sum(-1)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -161,9 +183,10 @@ def _pass(docs: DataFrame, text: str, keep: list[str], shingle: int, percent: in
             for x in shingle_sets(Scan(text_of(batch, "__text"), lower=True), shingle):
                 sizes.append(len(x))
                 names.append(class_of(x) if len(x) else None)
-                sketches.append(sketch(x).tobytes() if len(x) else None)
                 if not len(x) or names[-1] in seen:  # nothing, or a copy within this stretch
+                    sketches.append(None)
                     continue
+                sketches.append(sketch(x).tobytes())
                 if len(x) >= bounds[-2]:
                     bounds = bands(percent, 2 * len(x))
                 s = signatures(x, percent, bounds)
@@ -219,20 +242,8 @@ def _pass(docs: DataFrame, text: str, keep: list[str], shingle: int, percent: in
     return X.dealt(sent).mapInArrow(work, found_kind)
 
 
-def _short(x: np.ndarray) -> bytes:
-    """A set as the upper 40 bits of its hashes, by significance: enough to compare two sets."""
-    return (x >> _U(24)).view(np.uint8).reshape(-1, 8)[:, 4::-1].T.tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(5, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, 4::-1] = raw.T
-    return np.unique(out.view(_U).ravel())
-
-
 def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(cls, members) of the classes in ``wanted``; a class may come more than once."""
+    """(cls, members) of the classes whose documents ``wanted`` names, and perhaps of a few more; a class may come more than once."""
     at = docs.sparkSession.sparkContext.broadcast(X.Membership.of(wanted, "uid"))
 
     def run(batches):
@@ -247,38 +258,29 @@ def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFr
                 if len(x) and (c := class_of(x)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(c)
-                    rows.append((c, _short(x)))
+                    rows.append((c, x.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["cls", "members"])
 
     return docs.select("__uid", F.col(text).alias("__text")).mapInArrow(run, "cls long, members binary")
 
 
-def _of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets of classes in (a, b) pairs, and perhaps a few more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    at = sets.sparkSession.sparkContext.broadcast(X.Membership.of(ids, "cls"))
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches don't rule them out."""
+    a = sketches.select(F.col("cls").alias("a_"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    b = sketches.select(F.col("cls").alias("b_"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    slim = pairs.join(a.drop("sa"), F.col("a") == F.col("a_")).join(b.drop("sb"), F.col("b") == F.col("b_")).where(sizes).select("a", "b", "na", "nb")
+    joined = slim.join(a.drop("na"), F.col("a") == F.col("a_")).join(b.drop("nb"), F.col("b") == F.col("b_")).select("a", "b", "sa", "sb", "na", "nb")
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(at.value.has(np.asarray(batch.column(0)))))
-
-    return sets.mapInArrow(run, sets.schema)
-
-
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sketches don't rule them out."""
-    a = sets.select(F.col("cls").alias("a_"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    b = sets.select(F.col("cls").alias("b_"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    joined = pairs.join(a, F.col("a") == F.col("a_")).join(b, F.col("b") == F.col("b_"))
-    joined = joined.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb", "na", "nb")
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _U).reshape(batch.num_rows, -1) for i in (2, 3))
-                k = (100 - percent) * (np.asarray(batch.column(4)) + np.asarray(batch.column(5))) // (100 + percent)
-                yield batch.filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= k)).select(["a", "b"])
+            ok = []
+            for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                words = min(len(x), len(y))
+                ok.append(bool(apart(folded(x, words), folded(y, words)) <= differences(n + m, percent)))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -291,61 +293,140 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = [linked(_long(x), _long(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Of (gid, cls, n, comp, sketch) by group and size, pairs of different components of a group that the sketch lets through."""
+def _links(hashed: DataFrame, text: str, shingle: int, percent: int, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The links among (a, b) pairs of classes."""
+    near = cut(_near(pairs, sketches, percent))
+    if near.isEmpty():
+        return near
+    ids = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = stage(_sets(hashed, text, shingle, sketches.join(ids, "cls", "left_semi")), "sets")
+    return cut(_verified(near, sets.dropDuplicates(["cls"]), percent))
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def pairs(rows: pa.Table):
-            cls, n, comp = (np.asarray(rows.column(i)) for i in (1, 2, 3))
-            bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), _U).reshape(len(cls), -1)
-            for i in range(0, len(cls), BLOCK):
-                for j in range(i, len(cls), BLOCK):
-                    a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                    if 100 * n[i : i + BLOCK].max() < percent * n[j]:
+
+def candidates(rows: dict[str, np.ndarray], bits: list[bytes], gid: int, one: int, two: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers x, y and distance of the pairs of a unit that sketches don't rule out and that are taken up here.
+
+    A unit is a group (one == two == 0 if it is whole), or two of its slabs.
+    """
+    cls, n, comp, top, slab = (rows[c] for c in ("cls", "n", "comp", "top", "slab"))
+    words = np.array([len(b) // 8 for b in bits])
+    found = []
+    for w in np.unique(words):
+        a_rows = np.flatnonzero(words == w)
+        a_rows = a_rows[np.argsort(n[a_rows], kind="stable")]
+        a_bits = np.frombuffer(b"".join(bits[i] for i in a_rows), _U).reshape(len(a_rows), w)
+        for v in np.unique(words[words >= w]):
+            b_rows = np.flatnonzero(words == v)
+            b_rows = b_rows[np.argsort(n[b_rows], kind="stable")]
+            if 100 * n[a_rows[-1]] < percent * n[b_rows[0]]:
+                break
+            b_bits = a_bits if v == w else folded(np.frombuffer(b"".join(bits[i] for i in b_rows), _U).reshape(len(b_rows), v), w)
+            step = 4096 // min(int(w), ROW_WORDS)
+            for i in range(0, len(a_rows), step):
+                for j in range(i if v == w else 0, len(b_rows), step):
+                    a, b = a_rows[i : i + step], b_rows[j : j + step]
+                    if 100 * n[a[-1]] < percent * n[b[0]]:
                         break  # sorted by size
-                    k = (100 - percent) * (n[a][:, None] + n[b][None]) // (100 + percent)
-                    ok = comp[a][:, None] != comp[b][None]
+                    na, nb = n[a][:, None], n[b][None]
+                    ok = (comp[a][:, None] != comp[b][None]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                    if one != two:
+                        ok &= slab[a][:, None] != slab[b][None]
+                    if v == w and i == j:
+                        ok = np.triu(ok, 1)
                     x, y = np.nonzero(ok)
-                    far = np.bitwise_count(bits[a][x] ^ bits[b][y]).sum(1) > k[x, y]
-                    x, y = x[~far], y[~far]
-                    one, two = cls[a][x], cls[b][y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
-
-        def flush():
-            table = pa.Table.from_batches(held)
-            sig = np.asarray(table.column(0))
-            edges = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                yield from pairs(table.slice(int(i), int(j - i)).combine_chunks())
+                    d = apart(a_bits[i + x], b_bits[j + y])
+                    keep = d <= (100 - percent) * (n[a[x]] + n[b[y]]) // (100 + percent)
+                    x, y, d = a[x[keep]], b[y[keep]], d[keep]
+                    both = (top[x][:, :, None] == top[y][:, None, :]).any(2) & (top[x] != 0)
+                    here = ~both.any(1) | (top[x, both.argmax(1)] == gid)
+                    found.append((x[here], y[here], d[here]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    swap = cls[x] > cls[y]
+    return np.where(swap, y, x), np.where(swap, x, y), d
+
+
+def _across(units: DataFrame, percent: int, least: int, most: int) -> DataFrame:
+    """(gid, one, two, a, b): of each class of a unit the partners from place ``least`` to ``most`` in order of distance.
+
+    Rows without a and b name units where some class has more partners. Partners are ranked by the first components (``comp``), so their places stay; those that are
+    in one component by now (``now``) are left out.
+    """
+    kinds = pa.schema([("gid", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def found(table: pa.Table):
+        gid, one, two = (table.column(i)[0].as_py() for i in range(3))
+        rows = {c: np.asarray(table.column(c)) for c in ("cls", "n", "comp", "now", "slab")}
+        rows["top"] = np.stack([np.asarray(table.column(f"top{i}")) for i in range(TOP)], 1)
+        x, y, d = candidates(rows, table.column("sketch").to_pylist(), gid, one, two, percent)
+        if not len(x):
+            return
+        cls, now = rows["cls"], rows["now"]
+        order = np.lexsort((cls[y], d, cls[x]))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        size = np.diff(np.concatenate((first, [len(x)])))
+        place = np.arange(len(x)) - np.repeat(first, size)
+        more = ((now[x] != now[y]) & (place >= most)).any()
+        own = (place >= least) & (place < most) & (now[x] != now[y])
+        a, b = cls[x[own]], cls[y[own]]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), gid)), pa.array(np.full(len(a), one, np.int32)), pa.array(np.full(len(a), two, np.int32)), pa.array(a), pa.array(b)], schema=kinds)
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([one], pa.int32()), pa.array([two], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=kinds)
 
-        last = None
+    def run(batches):
+        held, last = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.asarray(batch.column(0))
-            if held and sig[0] != last:
-                yield from flush()
-                held = []
-            # whole signatures only: the last one may go on in the next batch
-            cutoff = int(np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))[-1])
-            if cutoff:
-                held.append(batch.slice(0, cutoff))
-                yield from flush()
-                held = []
-            held.append(batch.slice(cutoff))
-            last = sig[-1]
+            keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], 1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), batch.num_rows]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                key = tuple(keys[i])
+                if held and key != last:
+                    yield from found(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                last = key
+                held.append(batch.slice(int(i), int(j - i)))
         if held:
-            yield from flush()
+            yield from found(pa.Table.from_batches(held).combine_chunks())
+
+    return units.mapInArrow(run, "gid long, one int, two int, a long, b long")
+
+
+def _units(named: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows (gid, one, two, cls, n, comp, slab, top0.., sketch) of groups with several components, of (gid, cls, n, comp), by unit.
+
+    A group all of whose classes have the same other largest group lies within that one, and goes.
+    """
+    groups = cut(named.groupBy(F.col("gid").alias("g")).agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g", "size"))
+    rows = cut(named.join(groups, F.col("gid") == F.col("g")).select("gid", "cls", "n", "comp", "size"))
+    tops = rows.groupBy(F.col("cls").alias("c")).agg(F.sort_array(F.collect_list(F.struct("size", "gid")), asc=False).alias("t"))  # as many as a set has signatures at most
+    tops = tops.select("c", *[F.coalesce(F.try_element_at("t", F.lit(i + 1))["gid"], F.lit(0).cast("long")).alias(f"top{i}") for i in range(TOP)])
+    rows = rows.join(tops, F.col("cls") == F.col("c")).drop("c")
+    inner = rows.groupBy(F.col("gid").alias("g")).agg(F.min("top0").alias("x"), F.max("top0").alias("y")).where("x = y and x <> g").select("g")
+    rows = rows.join(inner, F.col("gid") == F.col("g"), "left_anti")
+    parts = F.ceil(F.col("size") / SLAB).cast("int")
+    rows = rows.withColumn("slab", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    # in slab s of p: the units (s, t) for t >= s and (t, s) for t < s; slabs alone come as (s, s)
+    dealt = F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.struct(F.least("slab", t).alias("one"), F.greatest("slab", t).alias("two")))
+    rows = rows.withColumn("u", F.explode(dealt)).select("gid", "u.one", "u.two", "cls", "n", "comp", "slab", *[f"top{i}" for i in range(TOP)])
+
+    def shrink(batches):
+        for batch in batches:
+            bits = [folded(np.frombuffer(b, _U), ROW_WORDS).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["c", "sketch"])
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    small = sketches.select(F.col("cls").alias("c"), "sketch").mapInArrow(shrink, "c long, sketch binary")
+    return rows.join(small, F.col("cls") == F.col("c")).drop("c")
 
 
 def classes_and_components(docs: DataFrame, keep: list[str], key: str, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -356,27 +437,32 @@ def classes_and_components(docs: DataFrame, keep: list[str], key: str, text: str
     found = stage(_pass(hashed, text, held, shingle, percent), "shingles")
     all_docs = found.where("gid is null").select(*[F.col(f"row.{c}").alias(c) for c in dict.fromkeys([*keep, key])], F.col("n").alias("n_shingles"), "cls")
     of_docs = found.where("gid is null and cls is not null")
-    classes = cut(of_docs.groupBy("cls").agg(F.min(f"row.{key}").alias("least"), F.min("row.__uid").alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = cut(of_docs.groupBy("cls").agg(F.min(f"row.{key}").alias("least"), F.min("row.__uid").alias("uid"), F.first("n").alias("n"), F.max("sketch").alias("sketch")))
     shared = cut(found.where("gid is not null").select("gid", "cls", "n", "hub").distinct())
     several = shared.select("cls").distinct()
-    sketches = classes.join(several, "cls", "left_semi").select("cls", "n", "sketch", "uid")
+    sketches = cut(classes.join(several, "cls", "left_semi").select("cls", "n", "sketch", "uid"))
     star = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    near = cut(_near(star, sketches, percent))
-    sets = stage(_sets(hashed, text, shingle, sketches.select("uid")), "sets")
-    links = cut(_verified(near, _of(sets, near), percent))
+    links = _links(hashed, text, shingle, percent, star, sketches)
     found = cut(connected_components(links, "a", "b"))
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(found, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-
-    named = labelled(shared.select("gid", "cls", "n"))
-    unsettled = named.groupBy(F.col("gid").alias("g")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-    rest = named.join(unsettled, F.col("gid") == F.col("g"), "left_semi").join(sketches.select(F.col("cls").alias("c"), "sketch"), F.col("cls") == F.col("c"))
-    rest = rest.select("gid", "cls", "n", "comp", "sketch").repartition("gid").sortWithinPartitions("gid", "n", "cls")
-    across = cut(_across(rest, percent).join(near, ["a", "b"], "left_anti"))
-    more = cut(_verified(across, _of(sets, across), percent))
-    if not more.isEmpty():
-        found = cut(connected_components(links.unionByName(more), "a", "b"))
+    def labelled(rows: DataFrame, name: str = "comp") -> DataFrame:
+        return rows.join(found, F.col("cls") == F.col("node"), "left").withColumn(name, F.coalesce("component", "cls")).drop("node", "component")
+
+    units = stage(_units(labelled(shared.select("gid", "cls", "n")), sketches), "units")
+    least, most = 0, NEAREST
+    while True:
+        now = units.withColumn("now", F.col("comp")) if least == 0 else labelled(units, "now")
+        rows = now.repartition("gid", "one", "two").sortWithinPartitions("gid", "one", "two")
+        across = cut(_across(rows, percent, least, most))
+        more = _links(hashed, text, shingle, percent, across.where("a is not null").select("a", "b").distinct(), sketches)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = cut(connected_components(links, "a", "b"))
+        left = across.where("a is null").select("gid", "one", "two").distinct()
+        if left.isEmpty():
+            break
+        units = stage(units.join(left, ["gid", "one", "two"], "left_semi"), "units")
+        least, most = most, 8 * most
 
     comps = labelled(classes.select("cls", "least"))
     least = comps.groupBy("comp").agg(F.min("least").alias("component_id")).withColumnRenamed("comp", "of")
