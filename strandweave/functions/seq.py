@@ -17,6 +17,16 @@ def reverse_complement(seq: Column | str) -> Column:
     return F.reverse(F.translate(F.upper(_c(seq)), "ACGTN", "TGCAN"))
 
 
+def reverse_read(seq: Column | str, qual: Column | str) -> Column:
+    """(seq, qual) of the other strand: the reverse complement, and its qualities read backwards."""
+    return F.struct(reverse_complement(seq).alias("seq"), F.reverse(_c(qual)).alias("qual"))
+
+
+def fill_n(n: Column) -> Column:
+    """A run of n letters N; none for n of 0 or less."""
+    return F.repeat(F.lit("N"), F.greatest(n, F.lit(0)).cast("int"))
+
+
 def reverse_complement_strict(seq: Column | str) -> Column:
     """As the duplicate filter has it: every letter that is no base counts as T, so its complement is A."""
     return F.reverse(F.translate(F.regexp_replace(_c(seq), "[^ACGT]", "T"), "ACGT", "TGCA"))
@@ -29,11 +39,12 @@ def trim(seq: Column | str, percent: float = 1.0, cutoff: int | None = None) ->
     return F.substring(_c(seq), F.lit(1), F.least(keep, F.lit(cutoff)) if cutoff is not None else keep)
 
 
-def windows(seq: Column | str, k: int) -> Column:
-    """Array of the k-letter windows in turn; empty for shorter strings."""
-    x = _c(seq)
-    starts = F.sequence(F.lit(1), F.length(x) - (k - 1))
-    return F.when(F.length(x) >= k, F.transform(starts, lambda i: F.substring(x, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def windows(seq: Column | str, k: int, letters: str = ".") -> Column:
+    """Array of the k-letter windows in turn; empty for shorter strings. With ``letters`` (a character class), those made of them only.
+
+    One pass of a look-ahead: the time is linear in the length, where a substring per place would walk from the start each time.
+    """
+    return F.regexp_extract_all(_c(seq), F.lit(f"(?s)(?=({letters}{{{k}}}))"), F.lit(1))
 
 
 def codes(seq: Column | str) -> Column:
@@ -96,10 +107,36 @@ def gaussian(x: Column, mean: Column, delta: Column) -> Column:
     return F.exp(-F.pow((x - mean) / delta, 2) / 2) / (delta * F.lit(2.5066282746310002))
 
 
+def gaussian_cdf(x: Column, mean: Column, delta: Column) -> Column:
+    """Share of the normal distribution up to x, to 1e-7: the rational approximation 7.1.26 of Abramowitz and Stegun of the error function."""
+    z = (x - mean) / (delta * F.lit(1.4142135623730951))
+    t = 1 / (1 + F.lit(0.3275911) * F.abs(z))
+    rest = F.lit(0.0)
+    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        rest = (rest + F.lit(c)) * t
+    erf = F.signum(z) * (1 - rest * F.exp(-z * z))
+    return (1 + erf) / 2
+
+
+def log_poisson(lam: Column, c: Column) -> Column:
+    """log of the Poisson probability of c at the rate lam, without its sign; the least double for a rate of 0."""
+    factorial = F.aggregate(F.when(c >= 1, F.sequence(F.lit(1).cast("long"), c.cast("long"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    return F.when(lam <= 2.220446049250313e-16, F.lit(-1.7976931348623157e308)).otherwise(c * F.log(lam) - factorial - lam)
+
+
+def expected_pairs(len_left: Column, len_right: Column, gap: Column, insert: int, delta: float, k: int, read_len: int) -> Column:
+    """How many k-mer pairs a link of two components is expected to have: a sum of shares of the insert size over the places of the left one, of twice the insert size at most."""
+    a, b = F.least(len_left, F.lit(2 * insert)), F.least(len_right, F.lit(2 * insert))
+    share = lambda x: gaussian_cdf(x.cast("double"), F.lit(float(insert)), F.lit(float(delta)))
+    places = a + read_len - 2 * k
+    each = F.when(places >= 1, F.sequence(F.lit(0).cast("long"), (places - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(each, F.lit(0.0), lambda s, i: s + share(read_len + a + gap + b - 2 * k - i) - share(a + gap - i))
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions revcomp(seq) and kmers(seq, k), the latter an array."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION revcomp(seq STRING) RETURNS STRING RETURN reverse(translate(upper(seq), 'ACGTN', 'TGCAN'))")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION kmers(seq STRING, k INT) RETURNS ARRAY<STRING> RETURN "
-        "CASE WHEN length(seq) >= k THEN transform(sequence(1, length(seq) - k + 1), i -> substring(seq, i, k)) ELSE array() END"
+        "regexp_extract_all(seq, concat('(?s)(?=(.{', k, '}))'), 1)"
     )

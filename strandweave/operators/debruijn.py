@@ -27,18 +27,25 @@ def degrees(graph: DataFrame) -> DataFrame:
 def rescue_singletons(counts: DataFrame) -> DataFrame:
     """Edges of count over 1, and those of count 1 that join a dead end to a start.
 
-    Both ends must exist, with no edge out of the first and none into the second. Of candidates that share an end, the
-    first in order of the k-mer at both of its ends is kept.
+    Both ends must exist, with no edge out of the first and none into the second. Edges are taken in order of the k-mer, so one that
+    was taken keeps later ones from its ends. Each round takes those that come first at both of their ends and drops what they
+    block, until nothing is left; that gives what one pass in order gives.
     """
     all_edges = edges(counts)
     main = all_edges.where("weight <> 1")
     deg = degrees(main)
     open_out = deg.where("outdeg = 0").select(F.col("node").alias("a"))
     open_in = deg.where("indeg = 0").select(F.col("node").alias("b"))
-    candidates = all_edges.where("weight = 1").join(open_out, F.col("src") == F.col("a")).join(open_in, F.col("dst") == F.col("b")).select("src", "dst", "base", "weight")
+    rounds = Rounds(counts.sparkSession, "rescue")
+    left = rounds.put(all_edges.where("weight = 1").join(open_out, F.col("src") == F.col("a")).join(open_in, F.col("dst") == F.col("b")).select("src", "dst", "base", "weight"))
     by_src, by_dst = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("dst").orderBy("src")
-    best = candidates.withColumn("r", F.row_number().over(by_src)).withColumn("q", F.row_number().over(by_dst)).where("r = 1 and q = 1").drop("r", "q")
-    return main.unionByName(best)
+    while not left.isEmpty():
+        ranked = left.withColumn("r", F.row_number().over(by_src)).withColumn("q", F.row_number().over(by_dst))
+        taken = cut(ranked.where("r = 1 and q = 1").drop("r", "q"))
+        main = main.unionByName(taken)
+        rest = left.join(taken.select(F.col("src").alias("a")), F.col("src") == F.col("a"), "left_anti").join(taken.select(F.col("dst").alias("b")), F.col("dst") == F.col("b"), "left_anti")
+        left = rounds.put(rest)
+    return main
 
 
 def _chains(graph: DataFrame) -> DataFrame:
@@ -52,29 +59,43 @@ def _chains(graph: DataFrame) -> DataFrame:
     before = graph.select(F.col("dst").alias("at"), F.concat("src", "base").alias("up"))
     own = F.concat("src", "base")
     start = graph.join(through, F.col("src") == F.col("t"), "left").join(before, (F.col("src") == F.col("at")) & F.col("t").isNotNull(), "left")
-    # up is null at the first edge of a chain
+    # up is null at the first edge of a chain; only what moves goes through the rounds
     rounds = Rounds(graph.sparkSession, "chains")
-    state = rounds.put(start.select(own.alias("edge"), "src", "dst", "base", "weight", "up", F.when(F.col("up").isNull(), own).alias("head"), F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("rank")))
+    state = rounds.put(start.select(own.alias("edge"), "up", F.when(F.col("up").isNull(), own).alias("head"), F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("rank")))
     waiting = state.where("head is null").count()
     while waiting:
         ahead = state.select(F.col("edge").alias("e2"), F.col("up").alias("u2"), F.col("head").alias("h2"), F.col("rank").alias("r2"))
         step = state.join(ahead, (F.col("up") == F.col("e2")) & F.col("head").isNull(), "left")
         moved = F.col("head").isNull()
-        state = rounds.put(step.select("edge", "src", "dst", "base", "weight", F.when(moved, F.col("u2")).otherwise(F.col("up")).alias("up"), F.coalesce("head", "h2").alias("head"), (F.col("rank") + F.when(moved, F.col("r2")).otherwise(0)).alias("rank")))
+        state = rounds.put(step.select("edge", F.when(moved, F.col("u2")).otherwise(F.col("up")).alias("up"), F.coalesce("head", "h2").alias("head"), (F.col("rank") + F.when(moved, F.col("r2")).otherwise(0)).alias("rank")))
         before_round, waiting = waiting, state.where("head is null").count()
         if waiting == before_round:  # every round settles some edge of a chain, so what waits now is cycles
             break
-    return state.where("head is not null").drop("up")
+    placed = state.where("head is not null").select("edge", "head", "rank")
+    return graph.withColumn("edge", own).join(placed, "edge").drop("edge")
+
+
+STRETCH = 4096
 
 
 def contract(graph: DataFrame) -> DataFrame:
-    """Unitigs (head, src_node, dst_node, seq, coverage, n_edges); coverage is the mean weight of the edges."""
-    rows = _chains(graph).groupBy("head").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "base", "src", "dst"))).alias("c"), F.sum("weight").alias("w"), F.count("*").alias("n_edges")
-    )
-    first = F.col("c")[0]
-    seq = F.concat(first["src"], F.array_join(F.transform("c", lambda x: x["base"]), ""))
-    return rows.select("head", first["src"].alias("src_node"), F.element_at("c", -1)["dst"].alias("dst_node"), seq.alias("seq"), (F.col("w") / F.col("n_edges")).alias("coverage"), "n_edges")
+    """Unitigs (head, src_node, dst_node, seq, coverage, n_edges); coverage is the mean weight of the edges.
+
+    The bases of a unitig are joined in stretches of ``STRETCH`` edges, and these in turn, so no row ever holds more than a stretch of
+    edges, or the sequence itself.
+    """
+    chains = _chains(graph).withColumn("part", F.floor(F.col("rank") / STRETCH))
+    pieces = chains.groupBy("head", "part").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "base"))).alias("c"), F.sum("weight").alias("w"), F.count("*").alias("n"),
+        F.min(F.struct("rank", "src"))["src"].alias("src"), F.max(F.struct("rank", "dst"))["dst"].alias("dst"),
+    )
+    pieces = pieces.select("head", "part", F.array_join(F.transform("c", lambda x: x["base"]), "").alias("s"), "w", "n", "src", "dst")
+    rows = pieces.groupBy("head").agg(
+        F.array_sort(F.collect_list(F.struct("part", "s"))).alias("c"), F.sum("w").alias("w"), F.sum("n").alias("n_edges"),
+        F.min(F.struct("part", "src"))["src"].alias("src_node"), F.max(F.struct("part", "dst"))["dst"].alias("dst_node"),
+    )
+    seq = F.concat("src_node", F.array_join(F.transform("c", lambda x: x["s"]), ""))
+    return rows.select("head", "src_node", "dst_node", seq.alias("seq"), (F.col("w") / F.col("n_edges")).alias("coverage"), "n_edges")
 
 
 def condensed(graph: DataFrame) -> DataFrame:

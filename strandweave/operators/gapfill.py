@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from strandweave.functions.seq import overlap
 from strandweave.plans.staging import stage
 
-MOST_PATHS = 10_000
-
 
 def adjacent(members: DataFrame, contigs: DataFrame) -> DataFrame:
     """(scaffold_id, ord, left, right, gap, left_seq, right_seq): neighbours in each scaffold."""
@@ -29,40 +27,76 @@ def classify(pairs: DataFrame, k: int, least_overlap: int, insert: int, delta: f
     return rows.withColumn("kind", kind).withColumn("gap", F.when(F.col("o") >= least_overlap, -F.col("o")).otherwise(F.col("gap")).cast("long")).drop("o")
 
 
-def adjacency(contigs: DataFrame, k: int) -> DataFrame:
-    """(a, b): contigs where the last k - 1 letters of a begin b."""
-    ends = contigs.select(F.col("contig_id").alias("a"), F.right("seq", F.lit(k - 1)).alias("end"))
-    starts = contigs.select(F.col("contig_id").alias("b"), F.substring("seq", F.lit(1), F.lit(k - 1)).alias("begin"), (F.length("seq") - (k - 1)).cast("long").alias("more"))
-    return ends.join(starts, F.col("end") == F.col("begin")).select("a", "b", "more")
+def joints(contigs: DataFrame, k: int) -> DataFrame:
+    """(contig_id, begin, end, more): the first and the last k - 1 letters, and how many letters follow the first ones. Contigs shorter than k join nothing."""
+    whole = contigs.where(F.length("seq") >= k)
+    return whole.select("contig_id", F.substring("seq", F.lit(1), F.lit(k - 1)).alias("begin"), F.right("seq", F.lit(k - 1)).alias("end"), (F.length("seq") - (k - 1)).cast("long").alias("more"))
 
 
-def search_paths(gaps: DataFrame, arcs: DataFrame, k: int, insert: int, delta: float, most_steps: int | None = None, most_paths: int = MOST_PATHS) -> DataFrame:
+def search_paths(gaps: DataFrame, contigs: DataFrame, k: int, insert: int, delta: float) -> DataFrame:
     """(scaffold_id, ord, path, length): for each gap the path from left to right whose length is nearest to the gap.
 
-    All gaps advance one contig per round: an equi-join with the adjacency. A path is given up when it is longer
-    than the gap allows, and a gap when it has more than ``most_paths`` open paths, as in a repeat without an end. Of equal errors the shorter
-    path wins, then the smaller ids. The length counts letters between the two contigs.
+    All gaps advance one contig per round, at most insert + 3 delta rounds. A path is given up when it is longer than the gap allows. Paths of a gap
+    that are at one contig with one length have the same future, so only the first in order of the ids goes on: a gap has at most as many
+    open paths as contigs times lengths, repeats included, and none has to be left out. Of equal errors the path of fewer contigs wins, then the smaller ids. The
+    length counts letters between the two contigs.
     """
     allowed = (k - 1) + 3 * delta + 30
-    open_paths = stage(gaps.select("scaffold_id", "ord", "right", "gap", F.array("left").alias("path"), F.col("left").alias("at"), F.lit(-(k - 1)).cast("long").alias("length")), "paths")
+    ends = stage(joints(contigs, k), "joints")
+    tail, head = ends.select(F.col("contig_id").alias("a"), "end"), ends.select(F.col("contig_id").alias("b"), "begin", "more")
+    open_paths = gaps.select("scaffold_id", "ord", F.col("left").alias("from"), "right", "gap", F.array("left").alias("path"), F.col("left").alias("at"), F.lit(-(k - 1)).cast("long").alias("length"))
+    open_paths = stage(open_paths, "paths")
+    none = gaps.select("scaffold_id", "ord", F.array("left").alias("path"), F.lit(0).cast("long").alias("length")).limit(0)
     found = None
-    for _ in range(most_steps if most_steps is not None else int(insert + 3 * delta)):
-        step = open_paths.join(arcs, F.col("at") == F.col("a"))
-        step = step.select("scaffold_id", "ord", "right", "gap", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"), (F.col("length") + F.col("more")).alias("length"), F.col("more"))
-        step = stage(step, "paths")
-        inner = F.col("length") - F.col("more")
-        hit = step.where("at = right").select("scaffold_id", "ord", "path", inner.alias("length"), F.abs(inner - F.col("gap")).alias("error"))
+    for _ in range(int(insert + 3 * delta)):
+        step = open_paths.join(tail, F.col("at") == F.col("a")).join(head, F.col("end") == F.col("begin"))
+        step = step.select("scaffold_id", "ord", "from", "right", "gap", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"), F.col("length").alias("inner"), (F.col("length") + F.col("more")).alias("length"))
+        state = ("scaffold_id", "ord", "from", "right", "gap", "at", "length")
+        step = stage(step.groupBy(*state).agg(F.min("path").alias("path"), F.min("inner").alias("inner")), "paths")
+        hit = step.where("at = right").select("scaffold_id", "ord", "path", F.col("inner").alias("length"), F.abs(F.col("inner") - F.col("gap")).alias("error"))
         found = hit if found is None else found.unionByName(hit)
-        counts = Window.partitionBy("scaffold_id", "ord")
-        open_paths = step.where(F.col("length") <= F.col("gap") + allowed - (k - 1)).withColumn("n", F.count("*").over(counts)).where(F.col("n") <= most_paths).drop("n", "more")
+        open_paths = step.where(F.col("length") <= F.col("gap") + allowed - (k - 1)).drop("inner")
         if open_paths.isEmpty():
             break
     if found is None:
-        return gaps.select("scaffold_id", "ord", F.array("left").alias("path"), F.lit(0).cast("long").alias("length")).limit(0)
+        return none
     best = found.groupBy("scaffold_id", "ord").agg(F.min(F.struct("error", F.size("path").alias("n"), "path", "length")).alias("m"))
     return best.select("scaffold_id", "ord", "m.path", "m.length")
 
 
+def search_wider(gaps: DataFrame, contigs: DataFrame, wider: DataFrame, k: int, insert: int, delta: float) -> DataFrame:
+    """Paths as from ``search_paths``, among the sequences of another graph (contig_id, seq), such as the one before trimming.
+
+    A path starts with a sequence that ends in the last k letters of the contig before the gap and leads to one that begins with the first
+    k letters of the contig after it.
+    """
+    sides = contigs.where(F.length("seq") >= k).select("contig_id", F.right("seq", F.lit(k)).alias("last"), F.substring("seq", F.lit(1), F.lit(k)).alias("first"))
+    whole = wider.where(F.length("seq") >= k)
+    starts = whole.select(F.col("contig_id").alias("m"), F.right("seq", F.lit(k)).alias("m_end"))
+    goals = whole.select(F.col("contig_id").alias("g"), F.substring("seq", F.lit(1), F.lit(k)).alias("g_begin"))
+    rows = gaps.join(sides.select(F.col("contig_id").alias("l"), "last"), F.col("left") == F.col("l")).join(sides.select(F.col("contig_id").alias("r"), "first"), F.col("right") == F.col("r"))
+    rows = rows.join(starts, F.col("last") == F.col("m_end")).join(goals, F.col("first") == F.col("g_begin"))
+    return search_paths(rows.select("scaffold_id", "ord", F.col("m").alias("left"), F.col("g").alias("right"), "gap"), wider, k, insert, delta)
+
+
+def fill(gaps: DataFrame, contigs: DataFrame, k: int, insert: int, delta: float, wider: DataFrame | None = None) -> DataFrame:
+    """(scaffold_id, ord, graph, path, length): paths among the contigs (graph 0) and, for gaps without one, in the wider graph (1)."""
+    asked = gaps.where("kind = 'search'").select("scaffold_id", "ord", "left", "right", "gap")
+    near = stage(search_paths(asked, contigs, k, insert, delta), "found").withColumn("graph", F.lit(0))
+    if wider is not None:
+        rest = stage(asked.join(near.select("scaffold_id", "ord"), ["scaffold_id", "ord"], "left_anti"), "unfilled")
+        if not rest.isEmpty():
+            near = near.unionByName(search_wider(rest, contigs, wider, k, insert, delta).withColumn("graph", F.lit(1)))
+    return near.select("scaffold_id", "ord", "graph", "path", "length")
+
+
+def gap_counts(gaps: DataFrame, paths: DataFrame) -> DataFrame:
+    """(outcome, n): how many gaps are of which kind; those searched count as filled, filled_wider or unfilled."""
+    rows = gaps.select("scaffold_id", "ord", "kind").join(paths.select("scaffold_id", "ord", "graph"), ["scaffold_id", "ord"], "left")
+    outcome = F.when(F.col("kind") != "search", F.col("kind")).when(F.col("graph") == 0, "filled").when(F.col("graph") == 1, "filled_wider").otherwise("unfilled")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def fold(parts: list[tuple], k: int, insert: int, delta: float) -> list[str]:
     """Sequences of one scaffold from (seq, gap, filling) of its contigs in order; the first has no gap.
 
@@ -91,9 +125,15 @@ def fold(parts: list[tuple], k: int, insert: int, delta: float) -> list[str]:
     return [*out, seq]
 
 
-def scaffold_sequences(members: DataFrame, contigs: DataFrame, gaps: DataFrame, paths: DataFrame, k: int, insert: int, delta: float) -> DataFrame:
-    """(scaffold_id, part, len, seq). A scaffold is folded by one task; it is as long as a chromosome at most."""
-    steps = paths.select("scaffold_id", "ord", F.posexplode("path").alias("i", "c")).join(contigs.select(F.col("contig_id").alias("x"), F.col("seq").alias("s")), F.col("c") == F.col("x"))
+def scaffold_sequences(members: DataFrame, contigs: DataFrame, gaps: DataFrame, paths: DataFrame, k: int, insert: int, delta: float, wider: DataFrame | None = None) -> DataFrame:
+    """(scaffold_id, part, len, seq). A scaffold is folded by one task; it is as long as a chromosome at most.
+
+    ``paths`` as from ``fill``; without its column ``graph`` all paths run among the contigs.
+    """
+    known = contigs.select(F.lit(0).alias("g"), F.col("contig_id").alias("x"), F.col("seq").alias("s"))
+    known = known if wider is None else known.unionByName(wider.select(F.lit(1).alias("g"), F.col("contig_id").alias("x"), F.col("seq").alias("s")))
+    graph = F.col("graph") if "graph" in paths.columns else F.lit(0).alias("graph")
+    steps = paths.select("scaffold_id", "ord", graph, F.posexplode("path").alias("i", "c")).join(known, (F.col("c") == F.col("x")) & (F.col("graph") == F.col("g")))
     inner = steps.groupBy("scaffold_id", "ord").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("p"))
     # contigs strictly between, each without what it shares with the one before, and the k - 1 letters that begin them
     from strandweave.functions.seq import chain

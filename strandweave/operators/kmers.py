@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.seq import reverse_complement, windows
 
 SOLID = 4
+PACKED_K = 31
+SLICE = 4 << 20
+_CODE = np.full(256, 4, np.uint8)
+_CODE[list(b"ACGT")] = _CODE[list(b"acgt")] = range(4)
+_BASE = np.frombuffer(b"ACGT", np.uint8)
 
 
 def both_strands(reads: DataFrame, seq: str = "seq") -> DataFrame:
@@ -19,12 +26,95 @@ def kmer_rows(reads: DataFrame, k: int, seq: str = "seq", strands: bool = True,
     """A row per window. ``ambiguous``: 'drop' windows with letters other than bases, or 'keep' them."""
     rows = reads.where(F.length(seq) >= k).select(F.upper(seq).alias("seq"))
     rows = both_strands(rows) if strands else rows
-    rows = rows.select(F.explode(windows("seq", k)).alias("kmer"))
-    return rows.where(~F.col("kmer").rlike("[^ACGT]")) if ambiguous == "drop" else rows
+    return rows.select(F.explode(windows("seq", k, "[ACGT]" if ambiguous == "drop" else ".")).alias("kmer"))
+
+
+def rolling(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of k codes as a number, forward and as its reverse complement, built from windows of half the width."""
+    one, other, width = codes.astype(np.int64), 3 - codes.astype(np.int64), 1
+    for bit in bin(k)[3:]:
+        n = len(one) - width
+        one, other = (one[:n] << 2 * width) | one[width:], other[:n] | (other[width:] << 2 * width)
+        width *= 2
+        if bit == "1":
+            n = len(one) - 1
+            last = codes[width : width + n].astype(np.int64)
+            one, other = (one[:n] << 2) | last, other[:n] | ((3 - last) << 2 * width)
+            width += 1
+    return one, other
+
+
+def packed_windows(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the windows of bases within each of the strings that ``bounds`` delimit, forward and reverse."""
+    codes = _CODE[data]
+    if len(codes) < k:
+        return np.zeros((2, 0), np.int64)
+    bad = np.concatenate(([0], np.cumsum(codes > 3)))
+    good = bad[k:] == bad[:-k]
+    cuts = np.zeros(len(codes) + 1, np.int64)  # a window must not go over a bound
+    np.add.at(cuts, bounds, 1)
+    run = np.cumsum(cuts)
+    good &= run[: len(good)] == run[k - 1 : k - 1 + len(good)]
+    one, other = rolling(codes & 3, k)
+    return one[good], other[good]
+
+
+def unpacked(numbers: np.ndarray, k: int) -> pa.Array:
+    """Strings of numbers."""
+    letters = np.empty((len(numbers), k), np.uint8)
+    for i in range(k):
+        letters[:, i] = _BASE[(numbers >> 2 * (k - 1 - i)) & 3]
+    offsets = np.arange(len(numbers) + 1, dtype=np.int32) * k
+    return pa.StringArray.from_buffers(len(numbers), pa.py_buffer(offsets), pa.py_buffer(letters))
+
+
+def _texts(batches, limit: int = SLICE):
+    """Bytes and bounds of a column of strings, about ``limit`` bytes at a time; a longer string comes alone."""
+    for batch in batches:
+        x = batch.column(0).cast(pa.string()).fill_null("")
+        off = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64) if len(x) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+            raw = x.buffers()[2]
+            yield (np.frombuffer(raw, np.uint8)[off[at] : off[to]] if raw is not None else np.zeros(0, np.uint8)), off[at:to] - off[at]
+            at = to
+
+
+def _count_packed(reads: DataFrame, k: int, seq: str, strands: bool) -> DataFrame:
+    """A k-mer and its reverse complement are counted as one number, so half the keys are shuffled, 8 bytes each."""
+
+    def count(batches):
+        for data, bounds in _texts(batches):
+            one, other = packed_windows(data, bounds, k)
+            keys, n = np.unique(np.minimum(one, other) if strands else one, return_counts=True)
+            for at in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)])], names=["p", "n"])
+
+    def spell(batches):
+        for batch in batches:
+            p, n = (np.asarray(c) for c in batch.columns)
+            if not strands:
+                yield pa.RecordBatch.from_arrays([unpacked(p, k), pa.array(n)], names=["kmer", "cnt"])
+                continue
+            back = np.zeros(len(p), np.int64)
+            for i in range(k):
+                back |= (3 - (p >> 2 * i & 3)) << 2 * (k - 1 - i)
+            same = back == p  # its own reverse complement, on either strand
+            yield pa.RecordBatch.from_arrays([unpacked(p, k), pa.array(np.where(same, 2 * n, n))], names=["kmer", "cnt"])
+            yield pa.RecordBatch.from_arrays([unpacked(back[~same], k), pa.array(n[~same])], names=["kmer", "cnt"])
+
+    found = reads.select(seq).mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    return found.mapInArrow(spell, "kmer string, cnt long")
 
 
 def count_kmers(reads: DataFrame, k: int, seq: str = "seq", strands: bool = True, ambiguous: str = "drop") -> DataFrame:
-    """(kmer, cnt). Counts are partly summed before the shuffle, so a frequent k-mer is a row per task there."""
+    """(kmer, cnt). Counts are partly summed before the shuffle, so a frequent k-mer is a row per task there.
+
+    Up to ``PACKED_K`` bases travel as a number; longer k-mers, or such with other letters, as strings. Lower case counts as upper case.
+    """
+    if k <= PACKED_K and ambiguous == "drop":
+        return _count_packed(reads, k, seq, strands)
     return kmer_rows(reads, k, seq, strands, ambiguous).groupBy("kmer").agg(F.count("*").alias("cnt"))
 
 
@@ -46,10 +136,35 @@ def quality_thresholds(reads: DataFrame, qual: str = "qual") -> DataFrame:
 
 
 def quality_windows(reads: DataFrame, k: int, avg_threshold: Column, min_threshold: Column, seq: str = "seq", qual: str = "qual", keep: tuple = ()) -> DataFrame:
-    """Windows (kmer, at) whose whole-number mean and least quality reach the thresholds and that have bases only."""
-    rows = reads.where(F.length(seq) >= k).select(*keep, F.col(seq).alias("s"), F.col(qual).alias("q"))
-    rows = rows.select(*keep, "s", "q", F.explode(F.sequence(F.lit(1), F.length("s") - (k - 1))).alias("at"))
-    values = F.transform(F.split(F.substring("q", F.col("at"), F.lit(k)), ""), lambda c: F.ascii(c))
-    rows = rows.select(*keep, F.col("at").cast("long"), F.substring("s", F.col("at"), F.lit(k)).alias("kmer"), values.alias("v"))
-    mean = F.floor(F.aggregate("v", F.lit(0), lambda a, b: a + b) / k)
-    return rows.where((mean >= avg_threshold) & (F.array_min("v") >= min_threshold) & ~F.col("kmer").rlike("[^ACGT]")).drop("v")
+    """Windows (kmer, at) whose whole-number mean and least quality reach the thresholds and that have bases only; ``at`` counts from 1.
+
+    Thresholds are literals or columns of the reads. Sums and least values of windows come from one pass over a batch of reads.
+    """
+    rows = reads.where(F.length(seq) >= k).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(seq).alias("s"), F.col(qual).alias("q"), avg_threshold.cast("double").alias("a"), min_threshold.cast("double").alias("m"))
+    kinds = ", ".join([*(f"k{i} {reads.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "at long, kmer string"])
+    names = [*(f"k{i}" for i in range(len(keep))), "at", "kmer"]
+
+    def run(batches):
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for i, (s, q, a, m) in enumerate(zip(*(columns[c].to_pylist() for c in "sqam"), strict=True)):
+                codes, v = _CODE[np.frombuffer(s.upper().encode(), np.uint8)], np.frombuffer(q.encode(), np.uint8)
+                if len(codes) != len(s) or len(v) < len(s):  # letters beyond ASCII, or no quality for each
+                    continue
+                total = np.concatenate(([0], np.cumsum(v[: len(s)], dtype=np.int64)))
+                bad = np.concatenate(([0], np.cumsum((codes > 3) | (v[: len(s)] < m))))
+                at = np.flatnonzero(((total[k:] - total[:-k]) // k >= a) & (bad[k:] == bad[:-k]))
+                if len(at):
+                    letters = _BASE[codes[at[:, None] + np.arange(k)]]
+                    offsets = np.arange(len(at) + 1, dtype=np.int32) * k
+                    held = [pa.array([columns[f"k{j}"][i].as_py()] * len(at), columns[f"k{j}"].type) for j in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(at + 1), pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(letters))], names=names)
+
+    return rows.mapInArrow(run, kinds).toDF(*keep, "at", "kmer")
+
+
+def count_good_kmers(reads: DataFrame, k: int, avg_threshold: Column, min_threshold: Column, strands: bool = True) -> DataFrame:
+    """(kmer, cnt) of the windows of (seq, qual) that pass both thresholds; a window and its reverse complement have the same qualities."""
+    rows = quality_windows(reads, k, avg_threshold, min_threshold).select("kmer")
+    rows = rows.select(F.explode(F.array(F.col("kmer"), reverse_complement("kmer"))).alias("kmer")) if strands else rows
+    return rows.groupBy("kmer").agg(F.count("*").alias("cnt"))

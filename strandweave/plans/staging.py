@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, one of our own, on a single machine only: other machines could not read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandweave-"))
         held = spark.sparkContext.getCheckpointDir()
     return named or held

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave import sql as T
 from strandweave.functions import seq as Q
 from strandweave.operators import contigs as C
 from strandweave.operators import debruijn as G
@@ -183,7 +184,7 @@ def _links(spark, sf) -> DataFrame:
 
 
 def j02_links(spark, sf):
-    return _links(spark, sf).select("src", "dst", F.size("distances").cast("long").alias("n"), "distance_sum", "kmer_cov", "read_cov")
+    return _links(spark, sf).select("src", "dst", F.col("kmer_cov").alias("n"), "distance_sum", "kmer_cov", "read_cov")
 
 
 def a10_trimmed_mean(spark, sf):
@@ -271,9 +272,7 @@ def e01_gap_classes(spark, sf):
 def e06_scaffold_sequences(spark, sf):
     members, contigs = _members(spark, sf)
     gaps = cut(_gaps(spark, sf))
-    arcs = cut(E.adjacency(contigs, K_SIZE))
-    paths = cut(E.search_paths(gaps.where("kind = 'search'"), arcs, K_SIZE, 200, 10.0))
-    return E.scaffold_sequences(members, contigs, gaps, paths, K_SIZE, 200, 10.0)
+    return E.scaffold_sequences(members, contigs, gaps, E.fill(gaps, contigs, K_SIZE, 200, 10.0), K_SIZE, 200, 10.0)
 
 
 _CONTIGS = (
@@ -308,6 +307,15 @@ _REVERSE = (
     "uniq AS (SELECT seq, max(contig_id) AS contig_id FROM both_ways WHERE length(seq) >= 100 GROUP BY seq), "
     "rcs AS (SELECT a.contig_id, b.contig_id AS rc_id FROM uniq a JOIN uniq b ON a.seq = reverse(translate(b.seq, 'ACGT', 'TGCA')))"
 )
+_SHARED = (
+    "w AS (SELECT contig_id, max(floor(contig_id / 10000)::BIGINT) AS s FROM both_ways GROUP BY contig_id), "
+    "shared AS (SELECT a.s AS a, b.s AS b, count(*)::BIGINT AS n FROM rcs JOIN w a USING (contig_id) JOIN w b ON b.contig_id = rc_id WHERE a.s <> b.s GROUP BY ALL)"
+)
+_GAPS = (
+    f"SELECT scaffold_id, ord, l AS \"left\", r AS \"right\", CASE WHEN o >= 10 THEN -o ELSE 5 END::BIGINT AS gap, CASE WHEN o >= 10 THEN 'overlap' ELSE 'search' END AS kind FROM (SELECT *, "
+    f"coalesce(list_max(list_filter(range(0, {K_SIZE}), lambda m: m <= length(e) AND m <= length(f) AND right(e, m::INT) = left(f, m::INT))), 0) AS o FROM "
+    f"(SELECT a.component_id AS scaffold_id, b.ord, a.contig_id AS l, b.contig_id AS r, right(x.seq, {K_SIZE - 1}) AS e, left(y.seq, {K_SIZE - 1}) AS f FROM members a JOIN members b ON a.component_id = b.component_id AND b.ord = a.ord + 1 JOIN contigs x ON x.contig_id = a.contig_id JOIN contigs y ON y.contig_id = b.contig_id))"
+)
 _QUAL = f"{_DNA}, reads AS (SELECT doc_id, seq, list_transform(range(1, length(seq) + 1), lambda i: 33 + (doc_id * 31 + i * 7) % 40) AS q FROM dna WHERE length(seq) > 0)"
 _EDGES = f"{_kmers(GRAPH_K)}, edges AS (SELECT substr(kmer, 1, {GRAPH_K - 1}) AS src, substr(kmer, 2) AS dst, right(kmer, 1) AS base, cnt AS weight FROM counts)"
 _DEGREES = "deg AS (SELECT node, sum(i)::BIGINT AS indeg, sum(o)::BIGINT AS outdeg FROM (SELECT src AS node, 0 AS i, 1 AS o FROM main UNION ALL SELECT dst, 1, 0 FROM main) GROUP BY node)"
@@ -330,10 +338,10 @@ SQL = {
     f"SELECT doc_id, count(*)::BIGINT AS n, min(kmer) AS least, max(p)::BIGINT AS last FROM win WHERE floor(list_sum(v) / {K_SIZE}) >= 51 AND list_min(v) >= 34 GROUP BY doc_id",
     "g01_edges": f"WITH {_EDGES} SELECT * FROM edges WHERE weight > 1",
     "a05_degrees": f"WITH {_EDGES}, main AS (SELECT * FROM edges WHERE weight > 1), {_DEGREES} SELECT * FROM deg",
-    "g02_singleton_rescue": f"WITH {_EDGES}, main AS (SELECT * FROM edges WHERE weight <> 1), {_DEGREES}, "
-    "cand AS (SELECT e.* FROM edges e JOIN deg a ON a.node = e.src AND a.outdeg = 0 JOIN deg b ON b.node = e.dst AND b.indeg = 0 WHERE weight = 1), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS r, row_number() OVER (PARTITION BY dst ORDER BY src) AS q FROM cand) "
-    "SELECT * FROM main UNION ALL SELECT src, dst, base, weight FROM r WHERE r = 1 AND q = 1",
+    "g02_singleton_rescue": T.rescued(_EDGES, _DEGREES),
+    "g04_trim": T.trimmed(_EDGES),
+    "g05_unitigs": T.unitigs(_EDGES),
+    "g06_condensed": T.condensed(_EDGES),
     "g07_copy_number": f"WITH {_CONTIGS} SELECT contig_id, coverage, copy_num FROM named",
     "g08_components": f"WITH {_CONTIGS} SELECT contig_id AS component_id, 0::BIGINT AS ord, contig_id, 0::BIGINT AS gap_after FROM named WHERE copy_num <= 1",
     "f15_genome_length": f"WITH {_CONTIGS} SELECT sum(len - {K_SIZE - 1})::BIGINT AS genome_length FROM contigs",
@@ -358,11 +366,10 @@ SQL = {
     "SELECT a.s AS scaffold_id, a.id AS i, b.id AS j FROM p a JOIN p b ON a.s = b.s AND (a.p < b.p OR (a.p = b.p AND a.id < b.id)) AND a.p + a.l > b.p WHERE CASE WHEN a.p + a.l < b.p + b.l THEN a.p + a.l - b.p ELSE b.l END >= 20",
     "d01_recall": f"WITH {_CONTIGS} SELECT contig_id, len::BIGINT AS len, copy_num FROM named WHERE copy_num > 1 AND (len > 200 OR (len > 100 AND copy_num <= 2))",
     "d02_reverse_pairs": f"WITH {_REVERSE} SELECT * FROM rcs",
-    "j05_shared_reverse": f"WITH {_REVERSE}, w AS (SELECT contig_id, max(floor(contig_id / 10000)::BIGINT) AS s FROM both_ways GROUP BY contig_id) "
-    "SELECT a.s AS a, b.s AS b, count(*)::BIGINT AS n FROM rcs JOIN w a USING (contig_id) JOIN w b ON b.contig_id = rc_id WHERE a.s <> b.s GROUP BY ALL",
-    "e01_gap_classes": f"WITH {_MEMBERS}, n AS (SELECT a.component_id AS scaffold_id, b.ord, a.contig_id AS l, b.contig_id AS r, right(x.seq, {K_SIZE - 1}) AS e, left(y.seq, {K_SIZE - 1}) AS f FROM members a JOIN members b ON a.component_id = b.component_id AND b.ord = a.ord + 1 JOIN contigs x ON x.contig_id = a.contig_id JOIN contigs y ON y.contig_id = b.contig_id), "
-    f"o AS (SELECT *, coalesce(list_max(list_filter(range(0, {K_SIZE}), lambda m: m <= length(e) AND m <= length(f) AND right(e, m::INT) = left(f, m::INT))), 0) AS o FROM n) "
-    "SELECT scaffold_id, ord, l AS \"left\", r AS \"right\", CASE WHEN o >= 10 THEN -o ELSE 5 END::BIGINT AS gap, CASE WHEN o >= 10 THEN 'overlap' ELSE 'search' END AS kind FROM o",
+    "j05_shared_reverse": f"WITH {_REVERSE}, {_SHARED} SELECT * FROM shared",
+    "d03_drop_duplicates": T.kept_scaffolds(f"{_REVERSE}, {_SHARED}"),
+    "e06_scaffold_sequences": T.scaffolds(_MEMBERS, _GAPS, K_SIZE, 200, 10.0),
+    "e01_gap_classes": f"WITH {_MEMBERS} {_GAPS}",
 }
 
 
