@@ -12,7 +12,6 @@ from strandweave.operators import debruijn as G
 from strandweave.operators import gapfill as E
 from strandweave.operators import kmers as K
 from strandweave.operators import links as L
-from strandweave.operators import mixture as M
 from strandweave.operators import scaffolds as S
 from strandweave.operators.components import connected_components
 from strandweave.plans import dna as D
@@ -199,10 +198,6 @@ def a08_mean_samples(spark, sf):
     return L.mean_samples(_links(spark, sf), D.READ, 2)
 
 
-def m01_mixture(spark, sf):
-    return M.multi_peak(_links(spark, sf), 5.0, 0)
-
-
 def g12_prune(spark, sf):
     return S.prune(_links(spark, sf), 2)
 
@@ -378,7 +373,7 @@ def queries() -> dict:
         f01_codes, f06_reverse_complement, f09_trim, f10_kmer_windows, f18_overlap, f20_link_distance, f22_wrap, a01_kmer_count, a02_kmer_stats, p03_frequent_kmers,
         a04_quality_thresholds, p02_quality_kmers, g01_edges, a05_degrees, g02_singleton_rescue, g04_trim, g05_unitigs, g06_condensed, g07_copy_number, g08_components,
         f15_genome_length, a12_n50, w06_longest, f14_component_length, w01_positions, w01_kmer_index, j01_insert_samples, a06_insert_size, j02_links, a10_trimmed_mean,
-        p10_supported_links, a08_mean_samples, m01_mixture, g12_prune, l01_positions, c01_linearize, g15_components, c02_overlaps, d01_recall, d02_reverse_pairs,
+        p10_supported_links, a08_mean_samples, g12_prune, l01_positions, c01_linearize, g15_components, c02_overlaps, d01_recall, d02_reverse_pairs,
         j05_shared_reverse, d03_drop_duplicates, e01_gap_classes, e06_scaffold_sequences,
     )
     return {f.__name__: f for f in named}

@@ -150,8 +150,122 @@ def test_query_of_scaffolds_follows_long_chains(spark, monkeypatch):
 
 
 def test_components_run_until_labels_settle(spark, monkeypatch):
-    monkeypatch.setattr("strandweave.operators.components.MAX_ROUNDS", 1, raising=False)
-    ids = list(range(40))
-    random.Random(3).shuffle(ids)
-    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
-    assert sorted((r.node, r.component) for r in connected_components(edges).collect()) == [(i, 0) for i in range(40)]
+    rng = random.Random(3)
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr("strandweave.operators.components.ONE_TASK", limit)
+        ids = list(range(40))
+        rng.shuffle(ids)
+        edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+        assert sorted((r.node, r.component) for r in connected_components(edges).collect()) == [(i, 0) for i in range(40)]
+        pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(None, 3), (70, 70)]
+        near = {v: {v} for p in pairs if None not in p for v in p}
+        for _ in pairs:
+            for a, b in pairs:
+                if a is not None:
+                    near[a] = near[b] = near[a] | near[b]
+        for v in near:
+            near[v] = set().union(*(near[w] for w in near[v]))
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+        assert got == {v: min(x) for v, x in near.items()}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_rescue_takes_what_a_refused_one_leaves_free(spark):
+    # of (a, x), (b, x) and (b, y) the second is refused, so the third finds b free
+    counts = spark.createDataFrame([("TAC", 2), ("TGC", 2), ("CAT", 2), ("CTT", 2), ("ACA", 1), ("GCA", 1), ("GCT", 1)], ["kmer", "cnt"])
+    got = {r.src + r.base for r in G.rescue_singletons(counts).where("weight = 1").collect()}
+    assert got == {"ACA", "GCT"}
+
+
+def pruned_by_hand(edges, cutoff):
+    """Lists in order of the source; each step looks at what the steps before it have left."""
+    left = sorted(edges)
+
+    def tips(left, forward):
+        for e in list(left):
+            a, b, c = e
+            outs = [x for x in left if x[0] == a]
+            ins = [x for x in left if x[1] == b]
+            if forward:
+                dead = not any(x[0] == b for x in left) and any(y[0] == x[1] for x in outs for y in left)
+                rivals = outs
+            else:
+                dead = not any(x[1] == a for x in left) and any(y[1] == x[0] for x in ins for y in left)
+                rivals = ins
+            if dead or (c < 3 * cutoff and sum(x[2] > c for x in rivals) >= 2):
+                left.remove(e)
+
+    def both():
+        tips(left, True)
+        tips(left, False)
+
+    both()
+    for n in sorted({v for a, b, _ in edges for v in (a, b)}):
+        if sum(a == n for a, _, _ in left) + sum(b == n for _, b, _ in left) >= S.DEGREE:
+            left[:] = [e for e in left if n not in e[:2]]
+    both()
+    return [(a, b) for a, b, _ in left]
+
+
+def test_pruning_follows_the_source(spark):
+    rng = random.Random(12)
+    for trial in range(60):
+        n = rng.choice((6, 9, 14))
+        edges = {(a, b): rng.randint(1, 9) for _ in range(rng.randint(4, 45)) for a, b in [rng.sample(range(n), 2)]}
+        rows = [(a, b, c) for (a, b), c in edges.items()]
+        assert S.prune_kernel(rows, 2) == pruned_by_hand(rows, 2), trial
+    rows = spark.createDataFrame([(1, 2, 5), (2, 3, 5), (1, 9, 1), (11, 12, 4)], "src long, dst long, read_cov long")
+    assert sorted(tuple(r) for r in S.prune(rows, 1).collect()) == [(1, 2), (2, 3), (11, 12)]
+
+
+def test_a_light_peak_takes_what_merges_into_it():
+    assert M.LEAST_WEIGHT == 0.1
+    fits = {"x": None}
+
+    def fake(x, n, k, delta):
+        return M.np.array([100.0, 110.0, 500.0]), M.np.full(3, 5.0), M.np.array([0.5, 0.05, 0.45]), 0.0
+
+    keep, M.fit = M.fit, fake
+    try:
+        found = M.peaks([1.0, 2.0, 3.0], [1, 1, 1], 5.0)
+    finally:
+        M.fit = keep
+    assert [(p[0], round(p[2], 9)) for p in found] == [(110.0, 0.55), (500.0, 0.45)] and fits
+
+
+def test_windows_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (100_000, 800_000):
+        df = spark.createDataFrame([("ACGTTGCA" * (n // 8),)], ["s"])
+        df.select(F.size(Q.windows("s", 21))).first()
+        began = time.time()
+        assert df.select(F.size(Q.windows("s", 21))).first()[0] == n - 20
+        took.append(time.time() - began)
+    assert took[1] < 30 * max(took[0], 0.2)
+
+
+def test_packed_and_spelled_counts_agree(spark):
+    rng = random.Random(4)
+    rows = ["".join(rng.choice("ACGTacgtNx-") if rng.random() < 0.1 else rng.choice("ACGT") for _ in range(rng.randint(0, 120))) for _ in range(50)] + ["", None, "ACGTACGTAC" * 30]
+    reads = spark.createDataFrame([(r,) for r in rows], "seq string")
+    for k in (1, 2, 5, 8, 21, 31):
+        for strands in (True, False):
+            packed = {r.kmer: r.cnt for r in K.count_kmers(reads, k, strands=strands).collect()}
+            spelled = {r.kmer: r.n for r in K.kmer_rows(reads.where("seq is not null"), k, strands=strands).groupBy("kmer").agg(F.count("*").alias("n")).collect()}
+            assert packed == spelled, (k, strands)
+
+
+def test_repeats_on_a_path_do_not_lose_it(spark):
+    """A loop of short contigs gives a path for every number of turns; only one per place and length goes on."""
+    k = 5
+    contigs = spark.createDataFrame([(0, "AAAACCCGT"), (1, "CCGTACGT"), (2, "ACGTACGT"), (3, "ACGTTTTTT"), (4, "CGTACGTA"), (5, "GTACGTAC")], "contig_id long, seq string")
+    gaps = spark.createDataFrame([(0, 1, 0, 3, 40)], "scaffold_id long, ord long, left long, right long, gap long")
+    found = E.search_paths(gaps, contigs, k, 200, 10.0).collect()
+    assert len(found) == 1 and found[0].length == 40
+
+
+def test_recalled_components_get_dense_ids(spark):
+    rows = spark.createDataFrame([(5,), (9,), (11,)], "contig_id long")
+    assert sorted((r.contig_id, r.n) for r in G.numbered(rows, ["contig_id"], "n", first=4).collect()) == [(5, 4), (9, 5), (11, 6)]
