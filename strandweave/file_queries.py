@@ -242,13 +242,106 @@ def c02_conflicts(spark, sf):
     return S.conflicts(placed, links, 20)
 
 
+def s03_files(spark, sf):
+    """Two sources read as one."""
+    paths = [_written(spark, "fastq", lambda p, h=half: files.write_fastq(_reads(spark, sf).where(F.pmod("name", F.lit(2)) == h), ["name"], p)) for half in (0, 1)]
+    return files.read_fastq(spark, paths).groupBy("name").agg(F.count("*").alias("n"), F.max(F.md5("seq")).alias("seq_md5"))
+
+
+def f05_order(spark, sf):
+    """Stretches of 31 bases in order of their numbers, which is that of the strings."""
+    from pyspark.sql import Window
+
+    rows = D.dna(spark, sf).select("doc_id", F.explode(F.regexp_extract_all("seq", F.lit(".{31}"), F.lit(0))).alias("k")).distinct()
+    return rows.select("doc_id", "k", F.row_number().over(Window.partitionBy("doc_id").orderBy(Q.pack_kmer("k"))).cast("long").alias("place"))
+
+
+def f19_path(spark, sf):
+    """Contigs put together again from their windows."""
+    rows = D.contigs(D.dna(spark, sf)).where(f"len >= {READ_K}")
+    return rows.select("contig_id", Q.chain(Q.windows("seq", READ_K), READ_K).alias("seq"))
+
+
+def x11_sql_functions(spark, sf):
+    Q.register(spark)
+    D.dna(spark, sf).createOrReplaceTempView("strandweave_dna")
+    return spark.sql(f"SELECT doc_id, revcomp(seq) AS rc, cast(size(kmers(seq, {READ_K})) AS BIGINT) AS n FROM strandweave_dna")
+
+
+def w09_ordinals(spark, sf):
+    from strandweave.operators.debruijn import numbered
+
+    return numbered(D.contigs(D.dna(spark, sf)).select("seq", "contig_id"), ["seq", "contig_id"], "id").select("contig_id", "id")
+
+
+def g03_remove(spark, sf):
+    """The graph without the edges whose k-mer begins with A, and without the nodes that begin with CA."""
+    from strandweave.operators import debruijn as G
+
+    graph = cut(A._graph(spark, sf))
+    less = G.remove_edges(graph, graph.where(F.col("src").startswith("A")))
+    nodes = graph.select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").startswith("CA"))
+    return G.remove_nodes(less, nodes)
+
+
+def g09_adjacency(spark, sf):
+    from strandweave.operators.debruijn import adjacency
+
+    return adjacency(D.contigs(D.dna(spark, sf)), READ_K, "contig_id")
+
+
+def _layers(spark, sf) -> DataFrame:
+    """Links from suppliers to parts and from parts to orders."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    part = F.col("l_partkey") + 1_000_000
+    pairs = F.array(F.struct(F.col("l_suppkey").alias("src"), part.alias("dst")), F.struct(part.alias("src"), (F.col("l_orderkey") + 1_000_000_000).alias("dst")))
+    rows = items.where("l_quantity <= 3").select(F.explode(pairs).alias("e"), F.col("l_quantity").cast("long").alias("q")).select("e.*", "q")
+    return rows.groupBy("src", "dst").agg(F.min("q").alias("distance"))
+
+
+def g16_compress(spark, sf):
+    from strandweave.operators.debruijn import compress
+
+    return compress(cut(_layers(spark, sf)))
+
+
+def g18_weakest(spark, sf):
+    return S.weakest_edges(_layers(spark, sf).withColumn("score", F.col("distance") + F.col("dst") % 5))
+
+
+def _visits(spark, sf) -> DataFrame:
+    """Orders of a customer in turn, with the next one and the days to it."""
+    from pyspark.sql import Window
+
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    day = F.datediff(F.col("o_orderdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    place = Window.partitionBy("customer").orderBy("day", "id")
+    rows = o.select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("id"), day.alias("day"))
+    return rows.select("*", F.lead("id").over(place).alias("next"), F.lead("day").over(place).alias("next_day"), F.first("id").over(place).alias("first"), F.first("day").over(place).alias("first_day"))
+
+
+def l01_chain_positions(spark, sf):
+    """Positions along chains, where every distance can be kept."""
+    rows = _visits(spark, sf).where("next is not null")
+    return S.positions(cut(rows.select(F.col("id").alias("src"), F.col("next").alias("dst"), (F.col("next_day") - F.col("day") - 5).alias("distance"))))
+
+
+def c03_linearize(spark, sf):
+    """Short intervals linked with the first one of their customer: neighbours without a link of their own are as far apart as their positions."""
+    rows = cut(_visits(spark, sf))
+    links = rows.where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"), (F.col("day") - F.col("first_day") + 7).alias("distance"), F.lit(1).cast("long").alias("score"))
+    placed = rows.select("id", F.col("day").alias("position"), (1 + F.col("id") % 5).alias("length"))
+    return S.linearize(links, placed)
+
+
 _HERE = A._CONTIGS
+_VISITS = "v AS (SELECT o_custkey AS c, o_orderkey AS id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day, row_number() OVER w AS r, lead(o_orderkey) OVER w AS nxt, lead(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) OVER w AS nxt_day, first_value(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) OVER w AS d0, first_value(o_orderkey) OVER w AS id0 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey))"
+_LAYERS = "layers AS (SELECT src, dst, min(q)::BIGINT AS distance FROM (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, l_quantity AS q FROM lineitem WHERE l_quantity <= 3 UNION ALL SELECT l_partkey + 1000000, l_orderkey + 1000000000, l_quantity FROM lineitem WHERE l_quantity <= 3) GROUP BY ALL)"
 _READS = f"{A._QUAL}, fq AS (SELECT doc_id::VARCHAR AS name, seq, array_to_string(list_transform(q, lambda x: chr(x::INT)), '') AS qual FROM reads)"
 _ITEMS = "links AS (SELECT l_suppkey AS src, l_partkey AS dst, min(l_quantity)::BIGINT - 20 AS distance, count(*) AS kmer_cov, max(l_tax) AS score FROM lineitem GROUP BY ALL)"
 _GOOD = (
-    f"{A._QUAL}, t AS (SELECT floor(sum(list_sum(q)) / sum(len(q))) AS m FROM reads), windows AS (SELECT substr(seq, p, {READ_K}) AS kmer, q[p:p + {READ_K - 1}] AS v FROM "
-    f"(SELECT *, unnest(range(1, length(seq) - {READ_K} + 2)) AS p FROM reads WHERE length(seq) >= {READ_K})), "
-    f"good AS (SELECT kmer FROM windows, t WHERE floor(list_sum(v) / {READ_K}) >= m * 0.9 AND list_min(v) >= m * 0.8 - 12)"
+    f"{A._QUAL}, t AS (SELECT floor(sum(list_sum(q)) / sum(len(q))) AS m FROM reads), {A._WINDOWS}, "
+    f"good AS (SELECT substr(seq, p, {READ_K}) AS kmer FROM sums JOIN reads USING (doc_id), t WHERE n = {READ_K} AND floor(total / {READ_K}) >= m * 0.9 AND least >= m * 0.8 - 12)"
 )
 _VOTES = f"votes AS (SELECT id AS component_id, sum(CASE WHEN len <= 300 THEN 2 ELSE 1 END)::BIGINT AS votes FROM (SELECT src AS id FROM full_links UNION ALL SELECT dst FROM full_links) JOIN contigs ON contig_id = id GROUP BY id HAVING votes > 1)"
 _FILLED = A.T.scaffolds(A._MEMBERS, A._GAPS, READ_K, 200, 10.0)
@@ -257,6 +350,17 @@ _CLOSE = A.T.kept_scaffolds(f"{A._REVERSE}, {A._SHARED}")
 _LINE = "s.t. con' || "
 
 SQL = {
+    "s03_files": f"WITH {A._DNA} SELECT doc_id::VARCHAR AS name, 1::BIGINT AS n, md5(seq) AS seq_md5 FROM dna WHERE length(seq) > 0",
+    "f05_order": f"WITH {A._DNA}, k AS (SELECT DISTINCT doc_id, substr(seq, i * 31 + 1, 31) AS k FROM (SELECT *, unnest(range(0, length(seq) // 31)) AS i FROM dna)) SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place FROM k",
+    "f19_path": f"WITH {A._CONTIGS} SELECT contig_id, seq FROM contigs WHERE len >= {READ_K}",
+    "x11_sql_functions": f"WITH {A._DNA} SELECT doc_id, {A._RC.format('seq')} AS rc, greatest(length(seq) - {READ_K - 1}, 0)::BIGINT AS n FROM dna",
+    "w09_ordinals": f"WITH {A._CONTIGS} SELECT contig_id, row_number() OVER (ORDER BY seq, contig_id) AS id FROM contigs",
+    "g03_remove": f"WITH {A._EDGES} SELECT * FROM edges WHERE weight > 1 AND src NOT LIKE 'A%' AND src NOT LIKE 'CA%' AND dst NOT LIKE 'CA%'",
+    "g09_adjacency": f"WITH {A._CONTIGS} SELECT contig_id, left(seq, {READ_K - 1}) AS \"begin\", seq[{READ_K}] AS next, right(seq, {READ_K - 1}) AS \"end\", seq[-{READ_K}] AS prev FROM contigs WHERE len >= {READ_K}",
+    "g16_compress": f"WITH {_LAYERS}, g AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, '>' || dst AS base, distance AS weight FROM layers), {A.T.chains('g', 'chain')} SELECT min_by(src, rank)::BIGINT AS src, max_by(dst, rank)::BIGINT AS dst, sum(weight)::BIGINT AS distance FROM chain GROUP BY head",
+    "g18_weakest": f"WITH {_LAYERS}, s AS (SELECT *, distance + dst % 5 AS score FROM layers), e AS (SELECT src AS node, * FROM s UNION ALL SELECT dst, * FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score, src, dst) AS r, count(*) OVER (PARTITION BY node) AS n, sum(score) OVER (PARTITION BY node) AS t FROM e) SELECT node, src, dst FROM r WHERE r = 1 AND n > 1 AND score < (t - score) // (n - 1)",
+    "l01_chain_positions": f"WITH {_VISITS}, p AS (SELECT c, id, day - d0 - 5 * (r - 1) AS x FROM v WHERE c IN (SELECT c FROM v WHERE r = 2)) SELECT id AS component_id, (x - min(x) OVER (PARTITION BY c))::BIGINT AS position FROM p",
+    "c03_linearize": f"WITH {_VISITS} SELECT id0 AS scaffold_id, r - 1 AS ord, id AS component_id, CASE WHEN nxt IS NULL THEN 0 WHEN r = 1 THEN nxt_day - day + 7 - (1 + id % 5) ELSE nxt_day - day - (1 + id % 5) END::BIGINT AS gap_after FROM v",
     "s01_fastq": f"WITH {_READS}, n AS (SELECT *, least(floor(length(seq) * 0.95)::INT, 1000) AS n FROM fq) SELECT name, left(seq, n) AS seq, left(qual, n) AS qual FROM n",
     "s02_gzip": f"WITH {_READS} SELECT name, length(seq)::BIGINT AS n, md5(qual) AS qual_md5 FROM fq",
     "s04_pairs": f"WITH {A._HITS.split(', mates AS')[0]} SELECT (pair_id % 2)::INT AS file, s1 AS seq1, s2 AS seq2 FROM frags",
@@ -307,7 +411,8 @@ def queries() -> dict:
     named = (
         s01_fastq, s02_gzip, s04_pairs, s05_fasta, s06_arff, s07_condensed, s08_contigs, s09_components, s10_links, s10_lengths, s11_lp, o06_lp_lines, s12_config, s13_parameters,
         o09_scaffolds, o10_reports, o11_graphviz, o12_debug, f07_reverse_read, f16_density, f22_fill_n, f11_good_kmers, a11_repeat_votes, j07_without_repeats,
-        a15_same_component_reads, e03_wider_paths, a14_gap_counts, m01_mixture, c02_conflicts,
+        a15_same_component_reads, e03_wider_paths, a14_gap_counts, m01_mixture, c02_conflicts, s03_files, f05_order, f19_path, x11_sql_functions, w09_ordinals, g03_remove,
+        g09_adjacency, g16_compress, g18_weakest, l01_chain_positions, c03_linearize,
     )
     return {f.__name__: f for f in named}
 

@@ -120,6 +120,31 @@ def numbered(rows: DataFrame, order: list[str], name: str, first: int = 1) -> Da
     return parts.join(F.broadcast(base), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + F.col("__i") + first).drop("__p", "__q", "__i", "__b")
 
 
+def adjacency(units: DataFrame, k: int, key: str = "edge_id") -> DataFrame:
+    """(key, begin, next, end, prev) of condensed edges: their first and last k - 1 letters, the letter that follows the first and the one before the last. By these they are looked up."""
+    whole = units.where(F.length("seq") >= k)
+    return whole.select(key, F.substring("seq", F.lit(1), F.lit(k - 1)).alias("begin"), F.substring("seq", F.lit(k), F.lit(1)).alias("next"), F.right("seq", F.lit(k - 1)).alias("end"), F.substring("seq", F.length("seq") - (k - 1), F.lit(1)).alias("prev"))
+
+
+def remove_edges(graph: DataFrame, gone: DataFrame) -> DataFrame:
+    """The graph without the edges (src, base); nodes left without any vanish with them."""
+    g = gone.select(F.col("src").alias("gs"), F.col("base").alias("gb")).distinct()
+    return graph.join(g, (F.col("src") == F.col("gs")) & (F.col("base") == F.col("gb")), "left_anti")
+
+
+def remove_nodes(graph: DataFrame, gone: DataFrame) -> DataFrame:
+    """The graph without the edges at the nodes (node)."""
+    g = gone.select(F.col("node").alias("g")).distinct()
+    return graph.join(g, F.col("src") == F.col("g"), "left_anti").join(g, F.col("dst") == F.col("g"), "left_anti")
+
+
+def compress(links: DataFrame) -> DataFrame:
+    """(src, dst, distance): chains of links over nodes that are one-in-one-out, each as one link as long as all of them. Pure cycles have no start and are left out."""
+    text = links.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.concat(F.lit(">"), F.col("dst").cast("string")).alias("base"), F.col("distance").alias("weight"))
+    ends = _chains(text).groupBy("head").agg(F.min_by("src", "rank").alias("src"), F.max_by("dst", "rank").alias("dst"), F.sum("weight").alias("distance"))
+    return ends.select(F.col("src").cast("long"), F.col("dst").cast("long"), "distance")
+
+
 def trim(graph: DataFrame, average: float, loops: int = 2) -> DataFrame:
     """Edges left after ``loops`` rounds of removing tips and weak chains, each judged on the graph at its start.
 

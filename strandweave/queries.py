@@ -48,12 +48,15 @@ def f09_trim(spark, sf):
 
 
 def f10_kmer_windows(spark, sf):
-    return D.dna(spark, sf).select("doc_id", F.size(Q.windows("seq", K_SIZE)).cast("long").alias("n_windows"), F.coalesce(F.try_element_at(Q.windows("seq", K_SIZE), F.lit(1)), F.lit("")).alias("first"))
+    """How many windows each sequence has, the first one, and a digest of all in turn."""
+    w = D.dna(spark, sf).select("doc_id", Q.windows("seq", K_SIZE).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_windows"), F.coalesce(F.try_element_at("w", F.lit(1)), F.lit("")).alias("first"), F.md5(F.array_join("w", ",")).alias("digest"))
 
 
 def f01_codes(spark, sf):
-    rows = D.dna(spark, sf).where("length(seq) >= 31").select("doc_id", F.substring("seq", 1, 31).alias("k"))
-    return rows.select("doc_id", Q.codes("k").alias("codes"), Q.pack_kmer("k").alias("packed"), Q.shift("k", F.lit("A")).alias("shifted"), Q.unshift("k", F.lit("C")).alias("unshifted"), Q.base_at("k", 4).alias("fifth"))
+    """All stretches of 31 bases, one after the other."""
+    rows = D.dna(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(".{31}"), F.lit(0))).alias("i", "k"))
+    return rows.select("doc_id", "i", Q.codes("k").alias("codes"), Q.pack_kmer("k").alias("packed"), Q.bases(Q.codes("k")).alias("spelled"), Q.shift("k", F.lit("A")).alias("shifted"), Q.unshift("k", F.lit("C")).alias("unshifted"), Q.base_at("k", 4).alias("fifth"))
 
 
 def f18_overlap(spark, sf):
@@ -312,14 +315,19 @@ _GAPS = (
     f"(SELECT a.component_id AS scaffold_id, b.ord, a.contig_id AS l, b.contig_id AS r, right(x.seq, {K_SIZE - 1}) AS e, left(y.seq, {K_SIZE - 1}) AS f FROM members a JOIN members b ON a.component_id = b.component_id AND b.ord = a.ord + 1 JOIN contigs x ON x.contig_id = a.contig_id JOIN contigs y ON y.contig_id = b.contig_id))"
 )
 _QUAL = f"{_DNA}, reads AS (SELECT doc_id, seq, list_transform(range(1, length(seq) + 1), lambda i: 33 + (doc_id * 31 + i * 7) % 40) AS q FROM dna WHERE length(seq) > 0)"
+_WINDOWS = (
+    "letters AS (SELECT doc_id, unnest(q) AS v, unnest(range(1, len(q) + 1)) AS p FROM reads), "
+    f"sums AS (SELECT doc_id, p::INT AS p, count(*) OVER w AS n, sum(v) OVER w AS total, min(v) OVER w AS least FROM letters WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {K_SIZE - 1} FOLLOWING))"
+)
 _EDGES = f"{_kmers(GRAPH_K)}, edges AS (SELECT substr(kmer, 1, {GRAPH_K - 1}) AS src, substr(kmer, 2) AS dst, right(kmer, 1) AS base, cnt AS weight FROM counts)"
 _DEGREES = "deg AS (SELECT node, sum(i)::BIGINT AS indeg, sum(o)::BIGINT AS outdeg FROM (SELECT src AS node, 0 AS i, 1 AS o FROM main UNION ALL SELECT dst, 1, 0 FROM main) GROUP BY node)"
 
 SQL = {
     "f06_reverse_complement": f"WITH {_DNA} SELECT doc_id, {_RC.format('seq')} AS rc, {_RC.format('seq')} AS rc_strict FROM dna",
     "f09_trim": f"WITH {_DNA} SELECT doc_id, substr(seq, 1, least(floor(length(seq) * 0.95)::INT, 1000)) AS trimmed FROM dna",
-    "f10_kmer_windows": f"WITH {_DNA} SELECT doc_id, greatest(length(seq) - {K_SIZE - 1}, 0)::BIGINT AS n_windows, CASE WHEN length(seq) >= {K_SIZE} THEN substr(seq, 1, {K_SIZE}) ELSE '' END AS first FROM dna",
-    "f01_codes": f"WITH {_DNA}, k AS (SELECT doc_id, substr(seq, 1, 31) AS k FROM dna WHERE length(seq) >= 31) SELECT doc_id, translate(k, 'ACGT', '0123') AS codes, "
+    "f10_kmer_windows": f"WITH {_DNA} SELECT doc_id, greatest(length(seq) - {K_SIZE - 1}, 0)::BIGINT AS n_windows, CASE WHEN length(seq) >= {K_SIZE} THEN substr(seq, 1, {K_SIZE}) ELSE '' END AS first, "
+    f"md5(array_to_string(list_transform(range(1, length(seq) - {K_SIZE} + 2), lambda i: seq[i:i + {K_SIZE - 1}]), ',')) AS digest FROM dna",
+    "f01_codes": f"WITH {_DNA}, k AS (SELECT doc_id, i::INT AS i, substr(seq, i * 31 + 1, 31) AS k FROM (SELECT *, unnest(range(0, length(seq) // 31)) AS i FROM dna)) SELECT doc_id, i, k AS spelled, translate(k, 'ACGT', '0123') AS codes, "
     "list_sum(list_transform(range(1, 32), lambda i: (instr('ACGT', substr(k, i, 1)) - 1)::BIGINT * (4::HUGEINT ** (31 - i))::BIGINT))::BIGINT AS packed, substr(k, 2) || 'A' AS shifted, 'C' || substr(k, 1, 30) AS unshifted, substr(k, 5, 1) AS fifth FROM k",
     "f18_overlap": f"WITH {_CONTIGS} SELECT a.contig_id, coalesce(list_max(list_filter(range(0, 31), lambda m: m <= length(a.seq) AND m <= length(b.seq) AND right(a.seq, m::INT) = left(b.seq, m::INT))), 0)::BIGINT AS overlap FROM contigs a JOIN contigs b ON b.contig_id = a.contig_id + 1",
     "f20_link_distance": "WITH d AS (SELECT l_orderkey, l_linenumber, 300 + l_quantity::BIGINT - l_suppkey AS d, l_partkey - (300 + l_quantity::BIGINT - l_suppkey) AS o, l_partkey FROM lineitem) "
@@ -329,8 +337,7 @@ SQL = {
     "a02_kmer_stats": f"WITH {_kmers(K_SIZE)} SELECT round(avg(cnt), 6) AS mean, round(stddev_pop(cnt), 6) AS stddev FROM counts WHERE cnt >= 4",
     "p03_frequent_kmers": f"WITH {_kmers(K_SIZE)} SELECT kmer, cnt FROM counts WHERE cnt > 1",
     "a04_quality_thresholds": f"WITH {_QUAL}, m AS (SELECT floor(sum(list_sum(q)) / sum(len(q))) AS m FROM reads) SELECT round(m * 0.9, 6) AS avg_threshold, round(m * 0.8, 6) AS min_threshold FROM m",
-    "p02_quality_kmers": f"WITH {_QUAL}, win AS (SELECT doc_id, p, substr(seq, p, {K_SIZE}) AS kmer, q[p:p + {K_SIZE - 1}] AS v FROM (SELECT *, unnest(range(1, length(seq) - {K_SIZE} + 2)) AS p FROM reads WHERE length(seq) >= {K_SIZE})) "
-    f"SELECT doc_id, count(*)::BIGINT AS n, min(kmer) AS least, max(p)::BIGINT AS last FROM win WHERE floor(list_sum(v) / {K_SIZE}) >= 51 AND list_min(v) >= 34 GROUP BY doc_id",
+    "p02_quality_kmers": f"WITH {_QUAL}, {_WINDOWS} SELECT doc_id, count(*)::BIGINT AS n, min(substr(seq, p, {K_SIZE})) AS least, max(p)::BIGINT AS last FROM sums JOIN reads USING (doc_id) WHERE n = {K_SIZE} AND floor(total / {K_SIZE}) >= 51 AND sums.least >= 34 GROUP BY doc_id",
     "g01_edges": f"WITH {_EDGES} SELECT * FROM edges WHERE weight > 1",
     "a05_degrees": f"WITH {_EDGES}, main AS (SELECT * FROM edges WHERE weight > 1), {_DEGREES} SELECT * FROM deg",
     "g02_singleton_rescue": T.rescued(_EDGES, _DEGREES),
