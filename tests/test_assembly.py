@@ -83,6 +83,20 @@ def test_positions_are_optimal():
         assert cost(S.least_deviation(rows)) == best
 
 
+def test_positions_by_blocks_are_as_good():
+    rng = random.Random(9)
+    for _ in range(150):
+        n = rng.randint(2, 9)
+        rows = [(a, b, rng.randint(-6, 9)) for _ in range(rng.randint(1, 12)) for a, b in [rng.sample(range(n), 2)]]
+        cost = lambda x: sum(abs(x[b] - x[a] - d) for a, b, d in rows)  # noqa: E731, B023
+        x = S.least_deviation(rows)
+        assert x.keys() == {v for a, b, _ in rows for v in (a, b)} and min(x.values()) == 0
+        assert cost(x) == cost(S._least_deviation(rows))
+        assert sorted(k for own in S.blocks([r[:2] for r in rows]) for k in own) == list(range(len(rows)))
+    long = [(i, i + 1, i % 7) for i in range(20_000)]
+    assert S.least_deviation(long)[20_000] == sum(d for _, _, d in long)
+
+
 def test_conflicts_and_components(spark):
     place = {0: (0, 100), 1: (50, 100), 2: (60, 10)}
     assert S.Graph([], place).conflicts(40) == [(0, 1)]
