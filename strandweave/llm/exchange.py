@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.frames import lean
+
 BLOBS = "bucket int, blob binary"
+PIECE = 500_000
 _U = np.uint64
 _ARROW = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -79,37 +82,66 @@ def blobs(key: np.ndarray, columns: list[np.ndarray], buckets: int, owner: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], schema=_ARROW)
 
 
+def parts(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of a blob (the last one of places in its table, if it has one), and its table."""
+    n = struct.unpack_from("<i", blob)[0]
+    return unpack(blob[4 : 4 + n]), unpack(blob[4 + n :]) if len(blob) > 4 + n else []
+
+
 def opened(blob: bytes) -> list[np.ndarray]:
     """Columns of a blob, those of its table last."""
-    n = struct.unpack_from("<i", blob)[0]
-    columns = unpack(blob[4 : 4 + n])
-    if len(blob) > 4 + n:
+    columns, table = parts(blob)
+    if table:
         at = columns.pop()
-        columns += [t[at] for t in unpack(blob[4 + n :])]
+        columns += [t[at] for t in table]
     return columns
 
 
+def pieces(blobs: list[bytes], limit: int = PIECE) -> Iterator[list[np.ndarray]]:
+    """The columns of the blobs of a range together, those of tables last, in pieces of about ``limit`` rows; equal keys are in one piece.
+
+    Rows wait as they are in the blobs, so beyond these only a piece takes memory.
+    """
+    held = [parts(b) for b in blobs]
+    keys = [c[0].view(_U) for c, _ in held]
+    k = -(-sum(map(len, keys)) // limit)
+    some = np.sort(np.concatenate([x[::64] for x in keys]))
+    cuts = np.unique(some[np.arange(1, k) * len(some) // k]) if k > 1 else some[:0]
+    edges = [np.concatenate(([0], np.searchsorted(x, cuts), [len(x)])) for x in keys]
+    for i in range(len(cuts) + 1):
+        found = []
+        for (columns, table), e in zip(held, edges, strict=True):
+            part = slice(e[i], e[i + 1])
+            if part.start == part.stop:
+                continue
+            own = columns[:-1] if table else columns
+            found.append([c[part] for c in own] + [t[columns[-1][part]] for t in table])
+        if found:
+            yield [np.concatenate(c) for c in zip(*found, strict=True)]
+
+
 def dealt(sent: DataFrame, *order: str) -> DataFrame:
     """Range b in partition b."""
     return sent.repartitionById(buckets_of(sent), "bucket").sortWithinPartitions("bucket", *order)
 
 
 def meet(sent: DataFrame, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``work`` on the concatenated columns of each range of keys, one range at a time."""
+    """``work`` on the columns of each range of keys, a piece of it at a time; all rows of a key come together."""
 
     def run(batches):
         held, at = [], None
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != at and held:
-                    yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
+                    for columns in pieces(held):
+                        yield from work(columns)
                     held = []
                 at = b
-                held.append(opened(blob))
-        if held:
-            yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
+                held.append(blob)
+        for columns in pieces(held) if held else ():
+            yield from work(columns)
 
-    return dealt(sent).mapInArrow(run, schema)
+    return dealt(sent).mapInArrow(lean(run), schema)
 
 
 class Membership:
@@ -133,10 +165,9 @@ class Membership:
         bits = 1 << min(cls.MAX_BITS.bit_length() - 1, max(12, int(12 * n + 1).bit_length()))
         places = F.array(*[F.shiftrightunsigned(F.col(column), k).bitwiseAND(F.lit(bits - 1)) for k in cls.shifts()])
         one = ids.select(F.explode(places).alias("p"))
-        parts = one.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).collect()  # at most MAX_BITS / 64 rows
+        found = one.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()  # at most MAX_BITS / 64 rows of 16 bytes
         words = np.zeros(bits // 64, np.int64)
-        for r in parts:
-            words[r["w"]] = r["b"]
+        words[np.asarray(found.column(0))] = np.asarray(found.column(1))
         return cls(words.view(_U))
 
     def has(self, ids: np.ndarray) -> np.ndarray:

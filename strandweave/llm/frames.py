@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, giving memory back to the system when a task ends: Python workers stay, and wait for other tasks beside those at work."""
+
+    def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc_remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus

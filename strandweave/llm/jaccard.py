@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandweave.llm import exchange as X
-from strandweave.llm.frames import load, small_batches
+from strandweave.llm.frames import lean, load, small_batches
 from strandweave.llm.textscan import Scan, factors, mix, slices, text_of, window_hash
 from strandweave.operators.components import connected_components
 from strandweave.plans.staging import cut, stage
@@ -212,16 +212,19 @@ def _pass(docs: DataFrame, text: str, keep: list[str], shingle: int, percent: in
         size = np.diff(np.concatenate((first, [len(key)])))
         with np.errstate(over="ignore"):
             gid = mix(np.add.reduceat(mix(cls.view(_U)), first) + size.astype(_U)).view(np.int64)
-        some = np.repeat(size > 1, size)
-        out = np.stack((np.repeat(gid, size)[some], cls[some], n[some].astype(np.int64), np.repeat(cls[first], size)[some]))
-        return list(np.unique(out, axis=1)) if out.shape[1] else list(out)
+        own = np.zeros(len(first), bool)  # one of the groups of the same classes, if there are several
+        own[np.unique(gid, return_index=True)[1]] = True
+        own &= size > 1
+        some = np.repeat(own, size)
+        return [np.repeat(gid[own], size[own]), cls[some], n[some].astype(np.int64), np.repeat(cls[first[own]], size[own])]
 
     def work(batches):
         held, at, kind = [], None, None
 
         def flush():
-            gid, cls, n, hub = groups([np.concatenate(c) for c in zip(*held, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(gid), kind), pa.array(n), pa.array(cls), pa.nulls(len(gid), pa.binary()), pa.array(gid), pa.array(hub)], names=found_kind.names)
+            for columns in X.pieces(held):
+                gid, cls, n, hub = groups(columns)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(gid), kind), pa.array(n), pa.array(cls), pa.nulls(len(gid), pa.binary()), pa.array(gid), pa.array(hub)], names=found_kind.names)
 
         for batch in batches:
             kind = batch.column(2).type
@@ -234,12 +237,12 @@ def _pass(docs: DataFrame, text: str, keep: list[str], shingle: int, percent: in
                     yield from flush()
                     held = []
                 at = b
-                held.append(X.opened(blob))
+                held.append(blob)
         if held:
             yield from flush()
 
-    sent = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("__text")).mapInArrow(run, sent_kind)
-    return X.dealt(sent).mapInArrow(work, found_kind)
+    sent = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("__text")).mapInArrow(lean(run), sent_kind)
+    return X.dealt(sent).mapInArrow(lean(work), found_kind)
 
 
 def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -262,7 +265,7 @@ def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["cls", "members"])
 
-    return docs.select("__uid", F.col(text).alias("__text")).mapInArrow(run, "cls long, members binary")
+    return docs.select("__uid", F.col(text).alias("__text")).mapInArrow(lean(run), "cls long, members binary")
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +285,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 ok.append(bool(apart(folded(x, words), folded(y, words)) <= differences(n + m, percent)))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +299,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _links(hashed: DataFrame, text: str, shingle: int, percent: int, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -399,7 +402,7 @@ def _across(units: DataFrame, percent: int, least: int, most: int) -> DataFrame:
         if held:
             yield from found(pa.Table.from_batches(held).combine_chunks())
 
-    return units.mapInArrow(run, "gid long, one int, two int, a long, b long")
+    return units.mapInArrow(lean(run), "gid long, one int, two int, a long, b long")
 
 
 def _units(named: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -425,7 +428,7 @@ def _units(named: DataFrame, sketches: DataFrame) -> DataFrame:
             bits = [folded(np.frombuffer(b, _U), ROW_WORDS).tobytes() for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["c", "sketch"])
 
-    small = sketches.select(F.col("cls").alias("c"), "sketch").mapInArrow(shrink, "c long, sketch binary")
+    small = sketches.select(F.col("cls").alias("c"), "sketch").mapInArrow(lean(shrink), "c long, sketch binary")
     return rows.join(small, F.col("cls") == F.col("c")).drop("c")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import load, small_batches
+from strandweave.llm.frames import lean, load, small_batches
 from strandweave.llm.textscan import Scan, mix, repeated, segment_hash, slices, text_of, window_hash
 from strandweave.plans.staging import cut
 
@@ -72,7 +72,7 @@ def document_stats(docs: DataFrame, keep: list[str], text: str = "text") -> Data
     kinds = docs.select(*keep).schema
     for c in counts:
         kinds = kinds.add(c, "long")
-    return source.mapInArrow(run, kinds)
+    return source.mapInArrow(lean(run), kinds)
 
 
 def base_failed() -> F.Column:

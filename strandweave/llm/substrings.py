@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandweave.llm import exchange as X
-from strandweave.llm.frames import load, small_batches
+from strandweave.llm.frames import lean, load, small_batches
 from strandweave.llm.textscan import Scan, mix, slices, text_of, window_hash
 from strandweave.plans.staging import cut
 
@@ -134,7 +134,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
             key, u, p = (np.concatenate(c) for c in zip(*held, strict=True))
             yield from _ask([key], u, p, buckets)
 
-    return docs.select("uid", "text").mapInArrow(run, X.BLOBS)
+    return docs.select("uid", "text").mapInArrow(lean(run), X.BLOBS)
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _windows(docs: DataFrame) -> DataFrame:
         if n:
             yield from flush()
 
-    return docs.mapInArrow(run, X.BLOBS)
+    return docs.mapInArrow(lean(run), X.BLOBS)
 
 
 def _covered(n: int, places: bytes) -> np.ndarray:
@@ -205,7 +205,7 @@ def cut_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text:
         for batch in batches:
             yield batch.filter(pa.array(first.value.has(np.asarray(batch.column(0)))))
 
-    moved = plain.mapInArrow(moving, moving_type)
+    moved = plain.mapInArrow(lean(moving), moving_type)
     asked = moved.join(hits.withColumnRenamed("uid", "hit"), F.col("uid") == F.col("hit")).select("uid", "text", "row", "at")
     marked = _hits(_windows(asked)).withColumnRenamed("uid", "hit")
 
@@ -238,8 +238,8 @@ def cut_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text:
             columns = [batch.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if with_text else []), names=kinds.names)
 
-    untouched = plain.mapInArrow(lambda b: finish(b, True), kinds)
-    touched = moved.join(marked, F.col("uid") == F.col("hit"), "left").select("uid", "text", "row", "at").mapInArrow(lambda b: finish(b, False), kinds)
+    untouched = plain.mapInArrow(lean(lambda b: finish(b, True)), kinds)
+    touched = moved.join(marked, F.col("uid") == F.col("hit"), "left").select("uid", "text", "row", "at").mapInArrow(lean(lambda b: finish(b, False)), kinds)
     out = untouched.unionByName(touched)
     return out.select("row.*", *kinds.names[1:])
 

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+HASHED_BYTES = 1 << 20
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _U = np.uint64
 
@@ -75,9 +76,18 @@ def _offsets(x: pa.Array) -> np.ndarray:
 
 
 def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each non-empty segment of bytes."""
-    if not len(starts):
-        return np.zeros(0, _U)
+    """A hash of each non-empty segment of bytes, for about ``HASHED_BYTES`` of them at a time."""
+    out = np.empty(len(starts), _U)
+    total = np.cumsum(ends - starts)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HASHED_BYTES, "right")))
+        out[at:to] = _segment_hash(data, starts[at:to], ends[at:to])
+        at = to
+    return out
+
+
+def _segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     size = ends - starts
     before = np.cumsum(size) - size
     j = np.arange(int(size.sum())) - np.repeat(before, size)
