@@ -15,8 +15,11 @@ scores do not depend on how many they are.
 Passes: word counts; then, per document, distinct pairs meet over all documents, which gives counts, the sums of
 each frequent context and each document's share of the score at once; then pairs seen in rare contexts meet what
 documents ask of these contexts; then shares are summed. Pairs of two frequent words are spread over ranges in
-proportion to the context's count, pairs with a rare word are with that word, so its count is their sum. Pair counts of frequent contexts exist only in the exchange: no table of pairs or weights is
-written or returned, so no model is left that could score other texts.
+proportion to the context's count, pairs with a rare word are with that word, so its count is their sum.
+
+The model stays as tables in the shared folder: counts of words, of pairs, and of contexts with their weights, each dealt by ranges of hashes.
+``Model.evaluate`` scores any documents from them, a token at a time: by its pair, else by its context's weight and its word. ``fit_and_score``
+gives the same scores for the documents the model is fitted on, as the pairs they ask for meet the counts where these are summed.
 
 The key is an integer. Null texts are empty: one end token. A null key trains. Repeated rows are documents of their own.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import exchange as X
-from strandweave.llm.frames import crc_remainder, load
+from strandweave.llm.frames import crc_remainder, lean, load
 from strandweave.llm.textscan import Scan, mix, slices, text_of
 from strandweave.plans.staging import stage
 
@@ -92,6 +95,11 @@ class Unigrams:
 
     unseen: float = 1.0
 
+    @property
+    def ids(self) -> np.ndarray:
+        """What stands for each class in the tables of the model: its hash, ``END_HASH``, or START itself."""
+        return np.concatenate((np.array([END_HASH, 0, START], _U), self.hashes))
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, c): hash and count of each token of (key, text, held) rows that are not held out."""
@@ -119,7 +127,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         w, at = np.unique(columns[0].view(_U), return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.bincount(at, columns[1]).astype(np.int64))], names=["w", "c"])
 
-    return X.meet(docs.mapInArrow(run, X.BLOBS), add, "w long, c long")
+    return X.meet(docs.mapInArrow(lean(run), X.BLOBS), add, "w long, c long")
 
 
 def unigrams(counts: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
@@ -171,7 +179,8 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
     """What documents and pairs add up to, as PARTS.
 
     Kind 0, a stretch's documents; 1, shares of them; 2, a frequent context (RARE: all others); 3, what documents ask of
-    frequent contexts. Of rare contexts, with the range of hashes as ``context``: 4, pairs seen there; 5, what documents ask.
+    frequent contexts. Of rare contexts, with the range of hashes as ``context``: 4, pairs seen there; 5, what documents ask. The model's
+    pairs: 7, of classes (context, word, count); 8, others by the hashes of both.
     """
     spark = docs.sparkSession
     at = spark.sparkContext.broadcast(model)
@@ -306,6 +315,12 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
             yield from outward(5, hashed[asked], [doc[asked].astype(np.int32), size[asked].astype(np.int32), stretch[asked]])
         seen = np.flatnonzero(new)[c > 0]
         c = c[c > 0]
+        if kind == 1 and len(seen):
+            yield row(7, None, None, None, X.pack([v[seen], w[seen], c.astype(np.int32)]))
+        elif len(seen):
+            context = np.where(v[seen] == RARE, hashed[seen], m.ids[v[seen]]).view(np.int64)
+            word = key[seen].view(np.int64) if kind == 2 else m.ids[other[seen]].view(np.int64)
+            yield row(8, None, None, None, X.pack([context, word, c.astype(np.int32)]))
         rare = v[seen] == RARE
         if rare.any():
             yield from outward(4, hashed[seen[rare]], [c[rare], cw[seen[rare]].astype(np.int64)])
@@ -366,8 +381,8 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
                     held[kind].append((*columns, np.full(len(columns[0]), stretch)))
         yield from flush()
 
-    sent = docs.mapInArrow(run, sent_kind)
-    return X.dealt(sent).mapInArrow(work, PARTS)
+    sent = docs.mapInArrow(lean(run), sent_kind)
+    return X.dealt(sent).mapInArrow(lean(work), PARTS)
 
 
 def backoff(parts: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
@@ -386,7 +401,7 @@ def backoff(parts: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rare_backoff(parts: DataFrame, model: Unigrams, d: np.ndarray) -> DataFrame:
-    """Shares of documents (kind 6) in the score for what they ask of rare contexts: log10 of count and weight."""
+    """Shares of documents (kind 6) in the score for what they ask of rare contexts, log10 of count and weight; and these contexts themselves (kind 9: hash, count, log10 of the weight)."""
     of_words = Unigrams(model.hashes[:0], model.counts[:0], model.context[:0], model.p[:0], model.d, model.total, model.types, model.unseen)
 
     def work(batches):
@@ -394,19 +409,21 @@ def rare_backoff(parts: DataFrame, model: Unigrams, d: np.ndarray) -> DataFrame:
         last = None
 
         def flush():
-            if held[4] and held[5]:
-                asked, doc, n, stretch = (np.concatenate(c) for c in zip(*held[5], strict=True))
-                names = np.unique(asked)
+            if held[4]:
+                names = np.unique(np.concatenate([v for v, _, _ in held[4]]))
                 count, used, mass = np.zeros((3, len(names)))
                 for v, c, cw in held[4]:
-                    at = np.minimum(np.searchsorted(names, v), len(names) - 1)
-                    own = names[at] == v
-                    at, c = at[own], c[own]
-                    for total, x in ((count, c), (used, discounted(c, d)), (mass, of_words.p_word(cw[own]))):
+                    at = np.searchsorted(names, v)
+                    for total, x in ((count, c), (used, discounted(c, d)), (mass, of_words.p_word(cw))):
                         total += np.bincount(at, x, len(names))
-                weight = (1 - used / np.maximum(count, 1)) / np.maximum(1 - mass, 1e-12)
-                each = np.where(count > 0, _log(count) + _log(weight), 0)
-                stretch, doc, total = added(stretch, doc, [n * each[np.searchsorted(names, asked)]])
+                weight = _log((1 - used / np.maximum(count, 1)) / np.maximum(1 - mass, 1e-12))
+                kept = X.pack([names, count.astype(np.int64), weight.view(np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array([9], pa.int32()), pa.nulls(1, pa.int64()), pa.array([kept], pa.binary())], names=["kind", "stretch", "blob"])
+            if held[4] and held[5]:
+                asked, doc, n, stretch = (np.concatenate(c) for c in zip(*held[5], strict=True))
+                at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+                each = np.where(names[at] == asked, _log(count[at]) + weight[at], 0)  # a context never seen has weight 1
+                stretch, doc, total = added(stretch, doc, [n * each])
                 edges = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1], [True])))
                 blobs = [X.pack([doc[a:b], total[a:b].view(np.int64)]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 k = len(blobs)
@@ -422,15 +439,95 @@ def rare_backoff(parts: DataFrame, model: Unigrams, d: np.ndarray) -> DataFrame:
         yield from flush()
 
     sent = parts.where("kind in (4, 5)").select(F.col("context").alias("bucket"), "kind", "blob")
-    return X.dealt(sent).mapInArrow(work, "kind int, stretch long, blob binary")
+    return X.dealt(sent).mapInArrow(lean(work), "kind int, stretch long, blob binary")
+
+
+@dataclass
+class Model:
+    """A fitted model: tables in the shared folder, and the numbers that hold for all of it."""
+
+    words: DataFrame  # (w, c)
+    parts: DataFrame  # pairs, as kinds 7 and 8
+    rare: DataFrame  # rare contexts, as kind 9
+    unigrams: Unigrams
+    d: np.ndarray  # discounts of pair counts
+    weight: np.ndarray  # log10 of the weight of each class as a context
+
+    def pairs(self) -> DataFrame:
+        """(context, word, c, log10_p) of each pair seen but for the context's count: log10 of the discounted count."""
+        ids, d = self.unigrams.ids.view(np.int64), self.d
+
+        def run(batches):
+            for batch in batches:
+                for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    v, w, c = X.unpack(blob)
+                    v, w = (ids[v], ids[w]) if kind == 7 else (v, w)
+                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(c.astype(np.int64)), pa.array(np.log10(discounted(c.astype(np.int64), d)))], names=["context", "word", "c", "log10_c"])
+
+        return self.parts.where("kind in (7, 8)").select("kind", "blob").mapInArrow(lean(run), "context long, word long, c long, log10_c double")
+
+    def contexts(self) -> DataFrame:
+        """(context, n, log10_weight): how often words come after it, and its weight for those never seen there."""
+
+        def run(batches):
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    v, n, weight = X.unpack(blob)
+                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n), pa.array(weight.view(np.float64))], names=["context", "n", "log10_weight"])
+
+        kinds = "context long, n long, log10_weight double"
+        u = self.unigrams
+        some = np.flatnonzero(u.context > 0)
+        frequent = pa.table([pa.array(u.ids[some].view(np.int64)), pa.array(u.context[some]), pa.array(self.weight[some])], names=["context", "n", "log10_weight"])
+        rare = self.rare.where("kind = 9").select("blob").mapInArrow(lean(run), kinds)
+        return rare.unionByName(self.rare.sparkSession.createDataFrame(frequent).select("context", "n", "log10_weight"))
+
+    def evaluate(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """(key, n_tokens, score) of any documents; rows of one key count as one document. Pairs of a document are asked for once, with their number."""
+
+        def ask(batches):
+            for batch in slices(batches, "text"):
+                s = Scan(text_of(batch, "text"), lower=True)
+                n = batch.num_rows
+                doc, words = s.doc_of_word(), s.word_hash()
+                token = np.full(len(words) + n, END_HASH, _U)
+                token[np.arange(len(words)) + doc] = words
+                ends = s.first[1:] + np.arange(n)
+                of = np.repeat(np.arange(n), s.n_words + 1)
+                before = np.concatenate((np.array([START], _U), token[:-1]))[: len(token)]
+                before[np.concatenate(([0], ends[:-1] + 1))] = START
+                order = np.lexsort((token, before, of))
+                of, v, w = of[order], before[order], token[order]
+                first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+                times = np.diff(np.concatenate((first, [len(of)])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[first])), pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(times)], names=["key", "v", "w", "times"])
+
+        kind = docs.schema[key].dataType.simpleString()
+        asked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(ask), f"key {kind}, v long, w long, times long")
+        u = self.unigrams
+        c = F.col("cw")
+        d_word = F.create_map(*[x for r in range(1, CUT + 1) for x in (F.lit(r).cast("long"), F.lit(float(u.d[r] * r)))])
+        p_word = F.when(c.isNull(), F.lit(float(u.unseen))).otherwise(F.when(c <= CUT, F.try_element_at(d_word, c)).otherwise(c - F.lit(LARGE)) / F.lit(float(max(1, u.total))))
+        rows = asked.join(self.pairs().select("context", "word", "log10_c"), (F.col("v") == F.col("context")) & (F.col("w") == F.col("word")), "left").drop("context", "word")
+        rows = rows.join(self.contexts(), F.col("v") == F.col("context"), "left").drop("context")
+        rows = rows.join(self.words.select(F.col("w").alias("word"), F.col("c").alias("cw")), F.col("w") == F.col("word"), "left")
+        log10_p = F.when(F.col("log10_c").isNotNull(), F.col("log10_c") - F.log10("n")).otherwise(F.log10(p_word) + F.coalesce("log10_weight", F.lit(0.0)))
+        sums = rows.groupBy("key").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * log10_p).alias("score"))
+        return sums.withColumnRenamed("key", key)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """Rows whose crc32(key) modulo 7 is 2 are held out of training."""
+    return fit_and_score(docs, key, text, vocabulary)[1]
+
+
+def fit_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
+    """The model of the rows that are not held out, and the scores of all rows."""
     spark = docs.sparkSession
     held = F.coalesce(crc_remainder(key, 7) == 2, F.lit(False))
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), held.alias("held"))
-    model = unigrams(stage(word_counts(plain), "unigrams"), vocabulary)
+    words = stage(word_counts(plain), "unigrams")
+    model = unigrams(words, vocabulary)
     parts = stage(_shares(plain, model), "shares")
     d, weight = backoff(parts, model)
     factor = np.log10(np.arange(1, CUT + 1) * d[1:])
@@ -475,9 +572,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             yield from flush()
 
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    shares = parts.where("kind in (0, 1, 3)").select("kind", "stretch", "blob").unionByName(rare_backoff(parts, model, d))
+    rare = stage(rare_backoff(parts, model, d), "contexts")
+    shares = parts.where("kind in (0, 1, 3)").select("kind", "stretch", "blob").unionByName(rare.where("kind = 6"))
     rows = shares.repartition("stretch").sortWithinPartitions("stretch", "kind")
-    return rows.mapInArrow(finish, kinds)
+    return Model(words, parts, rare, model, d, weight), rows.mapInArrow(lean(finish), kinds)
 
 
 def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
