@@ -1,11 +1,12 @@
 """GIF: LZW code streams, palettes, disposal and transparency, timed frames with colour histograms.
 
-``encode`` stores bytes losslessly as the pixels of grey frames 64 wide; ``decode`` reads any GIF of the two
+``encode`` stores bytes losslessly as the pixels of coloured frames 64 wide, of 64 KB each; ``decode`` reads any GIF of the two
 published versions: global and local palettes, interlacing, transparency, the four disposal methods and
 delays. ``frame_rows`` turns a table of GIF files into a row per timed frame.
 
 A null text is an empty one: one row of 64 zero samples. Null or damaged files give no frames in ``frame_rows``
-(with ``errors="null"``, one row with the message).
+(with ``errors="null"``, one row with the message). Repeated rows and ties are rows of their own with equal values; an empty table gives no rows; very long texts take
+more frames. Other columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm.frames import load, schema
+from strandweave.llm.frames import lean, load, schema
 from strandweave.llm.textscan import slices, text_of
 
 WIDTH = 64
-MAX_ROWS = 16_384
+MAX_ROWS = 1024
 DELAY_CS = 10
 BINS = 4
 
@@ -186,17 +187,29 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(p),)) + p for p in (data[i : i + 255] for i in range(0, len(data), 255))) + b"\0"
 
 
-def encode(samples: bytes) -> bytes:
-    """A GIF whose frames, in turn, hold the samples; their number is a positive multiple of 64."""
+def palettes() -> tuple[np.ndarray, np.ndarray]:
+    """Two palettes of 256 colours, all different: three bits of red and green and two of blue, and the same with the channels turned."""
+    i = np.arange(256)
+    one = np.stack((i >> 5, i >> 2 & 7, i & 3), 1) * np.array([36, 36, 85])
+    return one.astype(np.uint8), one[:, [1, 2, 0]].astype(np.uint8)
+
+
+def encode(samples: bytes, rows: int = MAX_ROWS) -> bytes:
+    """A GIF whose frames, in turn, hold the samples as palette indices; their number is a positive multiple of 64.
+
+    Frames are at most ``rows`` high. Every other one has a palette of its own and is transparent where its sample is that of its first pixel; disposal methods 1, 2 and 3
+    take turns. So the samples are lossless, whatever the canvas shows.
+    """
     if not samples or len(samples) % WIDTH:
         raise ValueError("samples must be a positive multiple of 64")
-    step = WIDTH * MAX_ROWS
+    step = WIDTH * rows
     parts = [samples[i : i + step] for i in range(0, len(samples), step)]
-    grey = bytes(v for x in range(256) for v in (x, x, x))
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, len(parts[0]) // WIDTH, 0xF7, 0, 0), grey]
-    for p in parts:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0))
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(p) // WIDTH, 0) + b"\x08")
+    one, other = (p.tobytes() for p in palettes())
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, len(parts[0]) // WIDTH, 0xF7, 0, 0), one]
+    for k, p in enumerate(parts):
+        odd = k % 2
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", (1 + k % 3) << 2 | odd, DELAY_CS, p[0] if odd else 0, 0))
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(p) // WIDTH, 0x87 if odd else 0) + (other if odd else b"") + b"\x08")
         out.append(_blocks(lzw_encode(p)))
     return b"".join([*out, b"\x3b"])
 
@@ -300,7 +313,7 @@ def frame_rows(files: DataFrame, key: str, content: str, errors: str = "skip") -
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds_pa = [to_arrow_type(f.dataType) for f in kinds]
-    return files.select(key, content).mapInArrow(run, kinds)
+    return files.select(key, content).mapInArrow(lean(run), kinds)
 
 
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,7 +341,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     for f in schema(fields):
         kinds = kinds.add(f)
     kinds_pa = [to_arrow_type(f.dataType) for f in kinds.fields[1:]]
-    return docs.select(key, text).mapInArrow(run, kinds)
+    return docs.select(key, text).mapInArrow(lean(run), kinds)
 
 
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
