@@ -9,7 +9,9 @@ Archives are written to the shared folder through ``pyarrow.fs``, each under a n
 a task that runs again replaces its own file.
 
 A null payload is an empty one. A null url is left out of the record. A null key is kept as null and
-never becomes the record that others refer to unless all of its group are null. An empty table writes no records.
+never becomes the record that others refer to; where all keys of a group are null, and for rows that repeat the smallest key, each is a response. An empty table writes no
+records. A member that can't be decoded, or is no whole record, is left out, or told of with ``errors="keep"``, and the reader goes on at the next one; ``errors="fail"``
+raises. Very long payloads are held one at a time.
 """
 
 from __future__ import annotations
@@ -26,17 +28,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import load
+from strandweave.llm.frames import lean, load
 from strandweave.llm.textscan import slices, text_of
-from strandweave.plans.staging import scratch
+from strandweave.plans.staging import cut, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 SPLIT_BYTES = 4 << 20
 WINDOW = 256 << 10
+BROADCAST_FIRSTS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
-READ = "record_id string, page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, position long"
+READ = "record_id string, page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, position long, error string"
 
 
 def digest(payload: bytes) -> str:
@@ -46,8 +49,12 @@ def digest(payload: bytes) -> str:
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if uri.startswith("dbfs:/"):
+        return pafs.LocalFileSystem(), "/dbfs/" + uri[6:].lstrip("/")
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
+    for other in ("s3a://", "s3n://"):  # as Spark names them
+        uri = "s3://" + uri.removeprefix(other) if uri.startswith(other) else uri
     return pafs.FileSystem.from_uri(uri)
 
 
@@ -97,16 +104,27 @@ def _int(x: str | None) -> int | None:
 
 
 def with_firsts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """url, html and the smallest key of its payload for each page. Equal payloads are counted before the shuffle."""
+    """url, html and the smallest key of its payload for each page. Equal payloads are counted before the shuffle.
+
+    The payloads stay where they are while those that occur again are few (``BROADCAST_FIRSTS``, 100 bytes each); beyond that they are joined, and a
+    partition that a frequent payload makes large is split at run time.
+    """
 
     def run(batches):
         for batch in slices(batches, html):
             digests = pa.array([digest(x) for x in text_of(batch, html).cast(pa.binary()).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=kinds.names)
 
+    def run_slim(batches):
+        for batch in slices(batches, html):
+            digests = pa.array([digest(x) for x in text_of(batch, html).cast(pa.binary()).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests], names=[key, "__sha"])
+
     kinds = pages.select("*").schema.add("__sha", "string")
-    digested = pages.mapInArrow(run, kinds)
-    firsts = digested.groupBy(F.col("__sha").alias("__of")).agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    digested = pages.mapInArrow(lean(run), kinds)
+    firsts = pages.select(key, html).mapInArrow(lean(run_slim), f"{key} long, __sha string").groupBy(F.col("__sha").alias("__of")).agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    firsts = cut(firsts)
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_FIRSTS else firsts
     return digested.join(firsts, F.col("__sha") == F.col("__of"), "left").drop("__of")
 
 
@@ -123,14 +141,10 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         name = posixpath.join(base, f"part-{context.partitionId():06d}.warc.gz")
         draft = posixpath.join(base, f"_draft-{context.taskAttemptId()}")
         out, size = None, 0
-        lone = set()  # rows with a null key: the first of a payload of this task is its response
         for batch in batches:
             for k, u, h, sha, first, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = out or fs.open_output_stream(draft)
-                is_first = n is None or k == first
-                if is_first and n is not None:
-                    is_first = sha not in lone
-                    lone.add(sha)
+                is_first = n is None or first is None or k == first
                 member = record(k, u, (h or "").encode(), sha, first, is_first)
                 out.write(member)
                 size += len(member)
@@ -139,16 +153,20 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             fs.move(draft, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size])], names=["path", "bytes"])
 
-    made = with_firsts(plain, "k", "h").select("k", "u", "h", "__sha", "__first", "__n").mapInArrow(run, "path string, bytes long")
+    made = with_firsts(plain, "k", "h").select("k", "u", "h", "__sha", "__first", "__n").mapInArrow(lean(run), "path string, bytes long")
     return [(r["path"], r["bytes"]) for r in made.collect()]  # one row per archive
 
 
-def splits(archives: list[tuple[str, int]], step: int = SPLIT_BYTES) -> list[tuple[str, int, int]]:
-    return [(path, at, min(at + step, size)) for path, size in archives for at in range(0, size, step)]
+def splits(spark: SparkSession, archives: list[tuple[str, int]], step: int = SPLIT_BYTES) -> DataFrame:
+    """(path, first, last): byte ranges of the archives, made by tasks from a row per archive."""
+    rows = spark.createDataFrame(archives, "path string, bytes long").where("bytes > 0")
+    at = rows.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))).alias("first"))
+    ranges = sum(-(-size // step) for _, size in archives)
+    return at.select("path", "first", F.least(F.col("first") + step, "bytes").alias("last")).repartition(max(1, min(ranges, 100_000)))
 
 
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """Position and text of each record that starts in [start, end)."""
+def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """Position and text of each record that starts in [start, end); no text for a member that breaks off or is damaged."""
     size = file.size()
 
     def at(position: int, n: int) -> bytes:
@@ -187,18 +205,21 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             position += 1
             continue
         while position < end and at(position, 3) == MAGIC:
-            text, after = whole(position)
+            try:
+                text, after = whole(position)
+            except zlib.error:
+                yield position, None
+                position += 1  # the next member is looked for
+                break
             if text.startswith(b"WARC/"):
                 yield position, text
             position = after
         block_at, block = position, at(position, WINDOW + 2)
 
 
-def read(spark: SparkSession, archives: list[tuple[str, int]], folder: str = "", payloads: bool = True, step: int = SPLIT_BYTES) -> DataFrame:
-    """A row per record of the archives (path and size), in ranges of ``step`` bytes."""
-    ranges = splits(archives, step)
-    frame = spark.createDataFrame(ranges, "path string, first long, last long")
-    frame = frame.repartition(max(1, min(len(ranges), 100_000)))
+def read(spark: SparkSession, archives: list[tuple[str, int]], folder: str = "", payloads: bool = True, step: int = SPLIT_BYTES, errors: str = "skip") -> DataFrame:
+    """A row per record of the archives (path and size), in ranges of ``step`` bytes; with ``errors="keep"`` also one per damaged member, with ``error`` set."""
+    frame = splits(spark, archives, step)
 
     def run(batches):
         fs = filesystem(folder)[0]
@@ -207,7 +228,16 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], folder: str = "",
                 rows, held = [], 0
                 with fs.open_input_file(path) as file:
                     for position, text in members(file, first, last):
-                        row = parse(text) | {"archive": path, "position": position}
+                        try:
+                            if text is None:
+                                raise ValueError("damaged member")
+                            row = parse(text) | {"archive": path, "position": position, "error": None}
+                        except (ValueError, KeyError, IndexError) as e:
+                            if errors == "fail":
+                                raise
+                            if errors == "skip":
+                                continue
+                            row = dict.fromkeys(kinds.names) | {"archive": path, "position": position, "error": f"{type(e).__name__}: {e}"}
                         if not payloads:
                             row["payload"] = None
                         rows.append(row)
@@ -222,7 +252,7 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], folder: str = "",
     from strandweave.llm.frames import schema
 
     kinds = to_arrow_schema(schema(READ))
-    return frame.mapInArrow(run, READ)
+    return frame.mapInArrow(lean(run), READ)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
