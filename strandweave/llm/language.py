@@ -5,11 +5,13 @@ languages whose bit is one against the others) predicts its sign. A document get
 the least loss, each bit weighted by how well it separates the training rows; when the runner-up is as close as
 ``AMBIGUOUS``, the row is flagged.
 
-The classifiers are fitted on ``fit_rows`` labelled rows with the smallest key hashes, or all if there are fewer. The model is
+The classifiers are fitted on the ``fit_rows`` labelled rows with the smallest key hashes, or all if there are fewer, and on no more of these, in order of the hash, than
+``FIT_BYTES`` of text hold. The model is
 languages x features numbers, whatever the size of the table, so it is sent to every executor.
 
 ``und`` with score 0 where the text is null or has no letter, or nothing was learned. A null key is not
-held out. Rows with a null lang teach nothing.
+held out. Rows with a null lang teach nothing. Repeated rows are rows of their own; ties between languages go to the first in order of their names. Texts are counted whole,
+however long. An empty table gives no rows. Kept columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import crc_remainder, load, small_batches
+from strandweave.llm.frames import crc_remainder, lean, load, small_batches
 from strandweave.llm.textscan import Scan, mix, slices, text_of
 
 FIT_ROWS = 4_000
+FIT_BYTES = 128 << 20
+ROWS = 1024  # counted at a time, of 32 KB each
 FEATURES = 1 << 13
 LENGTHS = (1, 2, 3, 4)
 SMOOTH = 0.5
@@ -136,12 +140,18 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def fit_table(docs: DataFrame, key: str, text: str, lang: str, fit_rows: int = FIT_ROWS) -> Model:
     """The model of at most ``fit_rows`` rows that have text and lang; counts and margins of the rest are not looked at."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).withColumn("__h", F.xxhash64(key, F.length(text)))
-    chosen = [r["__h"] for r in rows.select("__h").orderBy("__h").limit(fit_rows).collect()]
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, F.length(text)).alias("h")).where("text is not null and lang is not null")
+    size = F.octet_length("text").cast("long").alias("size")
+    chosen, room = [], FIT_BYTES
+    for r in rows.select("h", size).orderBy("h", "size").limit(fit_rows).collect():
+        room -= r["size"]
+        if room < 0 and chosen:
+            break
+        chosen.append(r["h"])
     if not chosen:
         return fit([], [])
-    wanted = spark.createDataFrame([(h,) for h in sorted(set(chosen))], "__w long")  # fit_rows rows at most
-    held = rows.join(F.broadcast(wanted), F.col("__h") == F.col("__w"), "left_semi").select(text, lang).limit(2 * fit_rows)
+    wanted = spark.createDataFrame([(h,) for h in sorted(set(chosen))], "w long")  # fit_rows rows at most
+    held = rows.join(F.broadcast(wanted), F.col("h") == F.col("w"), "left_semi").select("text", "lang").limit(2 * fit_rows)
     texts, langs = [], []
     for r in held.toLocalIterator():
         texts.append(r[0])
@@ -154,13 +164,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """The columns ``keep`` with lang_pred, score and ambiguous. Only the text is looked at."""
     small_batches(docs.sparkSession)
     at = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    kinds = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    own = [f"c{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(c).alias(x) for c, x in zip(keep, own, strict=True)], F.col(text).alias("__text"))
+    kinds = source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def run(batches):
         m = at.value
         names = np.array([*m.languages, "und"], object)
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in (b.slice(i, ROWS) for b in slices(batches, "__text", 1 << 20) for i in range(0, b.num_rows, ROWS)):
             texts = text_of(batch, "__text")
             place, score, unsure = m.predict(ngram_counts(Scan(texts, lower=True)))
             none = np.array([not _LETTER.search(x) for x in texts.to_pylist()], bool)
@@ -168,7 +179,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             score = np.where(place == len(m.languages), 0.0, score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[place], pa.string()), pa.array(score), pa.array(unsure | none)], names=kinds.names)
 
-    return source.mapInArrow(run, kinds)
+    return source.mapInArrow(lean(run), kinds).toDF(*keep, "lang_pred", "score", "ambiguous")
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:

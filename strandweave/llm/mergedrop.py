@@ -8,7 +8,8 @@ others go through an agenda of their own. Those of a batch go through their agen
 step, as rows of arrays; long ones, and those with characters that only longer pieces hold, one by one with the same result.
 
 Characters outside the vocabulary become byte pieces, a literal U+2581 too, so decoding gives back the text,
-whatever was skipped. With dropout 0 the ids are those of the SentencePiece library. A null text is an empty one.
+whatever was skipped. With dropout 0 the ids are those of the SentencePiece library. A null text is an empty one, without ids. Rows that repeat a key and a text draw alike; a null
+key draws by its name. Of equal scores the leftmost merge comes first. Long texts are encoded whole, an empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm.frames import load
+from strandweave.llm.frames import lean, load
 from strandweave.llm.packing import public_tokenizer
 from strandweave.llm.textscan import mix, slices, text_of
 
@@ -327,7 +328,7 @@ def encode_documents(docs: DataFrame, model: str, dropout: float = DROPOUT, seed
     kinds = docs.select(key).schema.add("n_ids", "long").add("ids_crc32", "long").add("decoded_sha256", "string").add("lossless", "boolean")
     if with_ids:
         kinds = kinds.add("ids", "binary")
-    return docs.select(key, text).mapInArrow(run, kinds)
+    return docs.select(key, text).mapInArrow(lean(run), kinds)
 
 
 def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ solves the packing on runs of equal bins:
 Rows are then numbered within their length (by hashed buckets, so that a length that many rows share is
 spread over tasks) and look up their place in the plan.
 
-A null text is an empty document: one end token. Repeated ids are separate rows. An empty table gives an
-empty result.
+A null text is an empty document: one end token. Repeated rows and ids are documents of their own; of pieces of one length, the order of their keys and places decides who
+goes where. Very long texts are encoded whole and cut. Other columns are not read, so their names may be any. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import load, small_batches
+from strandweave.llm.frames import lean, load, small_batches
 from strandweave.llm.textscan import slices, text_of
 from strandweave.plans.staging import cut
 
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     kinds = docs.select(key).schema
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
         kinds = kinds.add(name, kind)
-    return docs.select(key, text).mapInArrow(run, kinds)
+    return docs.select(key, text).mapInArrow(lean(run), kinds)
 
 
 class _Bins:
@@ -276,7 +276,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -
     at = spark.sparkContext.broadcast(table)
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut_pieces.withColumn("__b", F.pmod(F.xxhash64(key, "piece", "start"), F.lit(buckets)))
+    rows = cut_pieces.withColumn("__b", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.lit(buckets)))
     sums = rows.groupBy("length", "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("length").alias("__l"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -304,7 +304,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(t[k, 3] + r // t[k, 4]), pa.array(t[k, 5] + r % t[k, 4] * length)], names=[*names, "sequence_id", "offset"])
 
     kinds = cut_pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
-    return rows.select(*names, F.col("__rank").cast("long")).mapInArrow(place, kinds)
+    return rows.select(*names, F.col("__rank").cast("long")).mapInArrow(lean(place), kinds)
 
 
 def public_tokenizer(name: str) -> str:

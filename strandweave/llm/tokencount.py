@@ -8,7 +8,8 @@ every token to exactly one section. A token that crosses a bound goes by the rul
 ``first``    to the section that holds its first byte.
 
 Sections tile the text. By default they are lines, each with its line feed; ``count_fields`` makes them the
-fields of a row. A null or empty text has no tokens and no sections.
+fields of a row. A null or empty text has no tokens and no sections. Repeated rows are rows of their own, long texts are encoded whole, an empty table gives no rows, and
+other columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.frames import load
+from strandweave.llm.frames import lean, load
 from strandweave.llm.packing import public_tokenizer
 from strandweave.llm.textscan import slices, text_of
 
@@ -93,7 +94,7 @@ def count_sections(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     from pyspark.sql import types as T
 
     kinds = docs.select(key).schema.add("n_tokens", "long").add("n_sections", "long").add("n_crossing", "long").add("section_tokens", T.ArrayType(T.LongType()))
-    return docs.select(key, text).mapInArrow(run, kinds)
+    return docs.select(key, text).mapInArrow(lean(run), kinds)
 
 
 def count_fields(rows: DataFrame, fields: list[str], tokenizer: str, key: str, joint: str = "\n", rule: str = "largest") -> DataFrame:
@@ -123,7 +124,7 @@ def count_fields(rows: DataFrame, fields: list[str], tokenizer: str, key: str, j
     from pyspark.sql import types as T
 
     kinds = rows.select(key).schema.add("n_tokens", "long").add("n_sections", "long").add("n_crossing", "long").add("section_tokens", T.ArrayType(T.LongType()))
-    return one.mapInArrow(run, kinds)
+    return one.mapInArrow(lean(run), kinds)
 
 
 def section_digest(tokens: list[int]) -> int:
