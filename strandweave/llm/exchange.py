@@ -97,10 +97,10 @@ def opened(blob: bytes) -> list[np.ndarray]:
     return columns
 
 
-def pieces(blobs: list[bytes], limit: int = PIECE) -> Iterator[list[np.ndarray]]:
+def pieces(blobs: list[bytes], limit: int = PIECE, tags: list[int] | None = None) -> Iterator[list[np.ndarray]]:
     """The columns of the blobs of a range together, those of tables last, in pieces of about ``limit`` rows; equal keys are in one piece.
 
-    Rows wait as they are in the blobs, so beyond these only a piece takes memory.
+    With ``tags``, a number for each blob, a last column has that of each row. Rows wait as they are in the blobs, so beyond these only a piece takes memory.
     """
     held = [parts(b) for b in blobs]
     keys = [c[0].view(_U) for c, _ in held]
@@ -110,12 +110,13 @@ def pieces(blobs: list[bytes], limit: int = PIECE) -> Iterator[list[np.ndarray]]
     edges = [np.concatenate(([0], np.searchsorted(x, cuts), [len(x)])) for x in keys]
     for i in range(len(cuts) + 1):
         found = []
-        for (columns, table), e in zip(held, edges, strict=True):
+        for k, ((columns, table), e) in enumerate(zip(held, edges, strict=True)):
             part = slice(e[i], e[i + 1])
             if part.start == part.stop:
                 continue
             own = columns[:-1] if table else columns
-            found.append([c[part] for c in own] + [t[columns[-1][part]] for t in table])
+            tag = [np.full(part.stop - part.start, tags[k])] if tags is not None else []
+            found.append([c[part] for c in own] + [t[columns[-1][part]] for t in table] + tag)
         if found:
             yield [np.concatenate(c) for c in zip(*found, strict=True)]
 

@@ -44,6 +44,7 @@ CUT = 5
 LARGE = 0.05
 STRETCH = 1_000_000
 PIECE = 400_000
+SHARED = 400_000  # tokens of a stretch of documents whose pairs are dealt together
 END, RARE, START, WORDS = 0, 1, 2, 3
 END_HASH = 0x2545F4914F6CDD1D
 PARTS = "kind int, stretch long, context int, sums array<double>, blob binary"
@@ -254,7 +255,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
             held.append((np.asarray(keys.fill_null(0)).astype(np.int64), np.asarray(keys.is_null().to_numpy(zero_copy_only=False)), out, s.n_words + 1, known.astype(np.int64), more, ctx, *found))
             n += len(tokens)
             docs_held += docs_here
-            if n >= STRETCH:
+            if n >= SHARED:
                 yield from flush(task << 24 | stretches)
                 held, n, docs_held, stretches = [], 0, 0, stretches + 1
         if n:
@@ -328,10 +329,14 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
         table = [*(np.bincount(place, c == r, len(names)) for r in range(1, CUT + 2)), np.bincount(place, np.where(c > CUT, c - LARGE, 0), len(names)), np.bincount(place, p[seen], len(names))]
         contexts.append((names, *table))
 
-    def summed(contexts):
+    def by_name(contexts):
         names, *table = (np.concatenate(c) for c in zip(*contexts, strict=True))
         names, place = np.unique(names, return_inverse=True)
-        values = np.array([np.bincount(place, c, len(names)) for c in table]).T.ravel()
+        return names, *(np.bincount(place, c, len(names)) for c in table)
+
+    def summed(contexts):
+        names, *table = by_name(contexts)
+        values = np.array(table).T.ravel()
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * len(table), pa.int32()), pa.array(values))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), 2), pa.int32()), pa.nulls(len(names), pa.int64()), pa.array(names, pa.int32()), lists, pa.nulls(len(names), pa.binary())], names=["kind", "stretch", "context", "sums", "blob"])
 
@@ -345,25 +350,20 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
             for kind in (1, 2, 3):
                 if not held[kind]:
                     continue
-                columns = [np.concatenate(c) for c in zip(*held[kind], strict=True)]
+                blobs, stretches = zip(*held[kind], strict=True)
                 held[kind] = []
-                columns[0] = columns[0].view(_U)
-                order = np.argsort(columns[0])
-                for i, c in enumerate(columns):
-                    columns[i] = c[order]
-                del order
-                key, at = columns[0], 0
-                while at < len(key):  # pieces that end with a key
-                    to = min(len(key), at + PIECE)
-                    to = int(np.searchsorted(key, key[to - 1], "right"))
-                    own = [c[at:to] for c in columns]
+                for key, *columns in X.pieces(blobs, PIECE, stretches):
+                    key = key.view(_U)
+                    order = np.argsort(key) if kind == 1 else np.lexsort((columns[0], key))
+                    columns = [c[order] for c in columns]
                     if kind == 1:
-                        own.insert(1, np.zeros(to - at, np.int8))
-                    else:
-                        order = np.lexsort((own[1], own[0]))
-                        own = [c[order] for c in own]
-                    yield from pairs(kind, *own, m, sums, contexts)
-                    at = to
+                        columns.insert(0, np.zeros(len(key), np.int8))
+                    yield from pairs(kind, key[order], *columns, m, sums, contexts)
+                    if sum(len(x[0]) for x in sums) > PIECE:
+                        stretch, doc, *rest = (np.concatenate(c) for c in zip(*sums, strict=True))
+                        sums[:] = [added(stretch, doc, rest)]
+                    if len(contexts) > 4:
+                        contexts[:] = [by_name(contexts)]
             if sums:
                 yield from shares(sums)
             if contexts:
@@ -377,8 +377,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
                 if kind == 0:
                     yield row(0, stretch, None, None, blob)
                 else:
-                    columns = X.opened(blob)
-                    held[kind].append((*columns, np.full(len(columns[0]), stretch)))
+                    held[kind].append((blob, stretch))
         yield from flush()
 
     sent = docs.mapInArrow(lean(run), sent_kind)
