@@ -399,7 +399,7 @@ SQL = {
     "a14_gap_counts": f"{_BEST} SELECT CASE WHEN kind <> 'search' THEN kind WHEN b.fill IS NOT NULL THEN 'filled' WHEN x.contig_id IS NOT NULL AND y.contig_id IS NOT NULL THEN 'filled_wider' ELSE 'unfilled' END AS outcome, count(*)::BIGINT AS n "
     "FROM gaps g LEFT JOIN best b USING (scaffold_id) LEFT JOIN joints x ON x.contig_id = g.\"left\" LEFT JOIN joints y ON y.contig_id = g.\"right\" GROUP BY 1",
     "m01_mixture": "WITH d AS (SELECT l_suppkey % 10 AS src, l_linenumber::BIGINT AS dst, l_quantity::BIGINT % 7 + CASE WHEN l_orderkey % 3 = 0 THEN 100 ELSE 400 END AS d FROM lineitem), "
-    "p AS (SELECT src, dst, d > 250 AS far, count(*) AS n, avg(d) AS m FROM d GROUP BY ALL) SELECT src, dst, count(*)::INT AS n_peaks, round(max_by(m, n), 1) AS peak FROM p GROUP BY src, dst HAVING sum(n) > 100 AND count(*) > 1",
+    "p AS (SELECT src, dst, d > 250 AS far, count(*) AS n, avg(d) AS m FROM d GROUP BY ALL) SELECT src, dst, count(*)::INT AS n_peaks, round(trunc(max_by(m, n) * sum(n)) / sum(n), 1) AS peak FROM p GROUP BY src, dst HAVING sum(n) > 100 AND count(*) > 1",
     "c02_conflicts": "WITH p AS (SELECT o_custkey AS s, o_orderkey AS id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS p, 30 + o_orderkey % 90 AS l, row_number() OVER w AS r, lead(o_orderkey) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey)), "
     "l AS (SELECT id AS a, nxt AS b FROM p WHERE id % 3 = 0 AND nxt IS NOT NULL), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l), "
     "stop AS (SELECT x.id, min(y.r) AS r FROM p x JOIN both_ways ON a = x.id JOIN p y ON y.id = b WHERE y.r > x.r GROUP BY x.id) "
