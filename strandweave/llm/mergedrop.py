@@ -33,6 +33,7 @@ DROPOUT = 0.1
 SEED = 20
 CACHE_UNITS = 800_000
 LOCKSTEP = 64
+SLICE = 4 << 20  # the more units a slice holds, the more go through their agendas in step
 DRAWS = 1 << 17
 _NONE = np.iinfo(np.int32).max
 _ALL = 2**64 - 1
@@ -314,7 +315,7 @@ def encode_documents(docs: DataFrame, model: str, dropout: float = DROPOUT, seed
         if (model, dropout, seed) not in _ENCODERS:
             _ENCODERS[model, dropout, seed] = MergeDropEncoder(model, dropout, seed)
         encoder = _ENCODERS[model, dropout, seed]
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             rows = []
             names, texts = batch.column(0).to_pylist(), text_of(batch, text).to_pylist()
             keys = [k if isinstance(k, int) else xxhash.xxh64_intdigest(str(k)) for k in names]
