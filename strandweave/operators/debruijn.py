@@ -6,7 +6,9 @@ Loops cut their lineage in the shared folder each round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.plans.staging import Rounds, cut
@@ -126,14 +128,21 @@ def adjacency(units: DataFrame, k: int, key: str = "edge_id") -> DataFrame:
     return whole.select(key, F.substring("seq", F.lit(1), F.lit(k - 1)).alias("begin"), F.substring("seq", F.lit(k), F.lit(1)).alias("next"), F.right("seq", F.lit(k - 1)).alias("end"), F.substring("seq", F.length("seq") - (k - 1), F.lit(1)).alias("prev"))
 
 
-def remove_edges(graph: DataFrame, gone: DataFrame) -> DataFrame:
-    """The graph without the edges (src, base); nodes left without any vanish with them."""
+def remove_edges(graph: DataFrame, gone: DataFrame | Column) -> DataFrame:
+    """The graph without the edges (src, base), or without those of which a condition on their columns holds; nodes left without any vanish with them.
+
+    A condition is looked at edge by edge, without a shuffle.
+    """
+    if isinstance(gone, Column):
+        return graph.where(~F.coalesce(gone, F.lit(False)))
     g = gone.select(F.col("src").alias("gs"), F.col("base").alias("gb")).distinct()
     return graph.join(g, (F.col("src") == F.col("gs")) & (F.col("base") == F.col("gb")), "left_anti")
 
 
-def remove_nodes(graph: DataFrame, gone: DataFrame) -> DataFrame:
-    """The graph without the edges at the nodes (node)."""
+def remove_nodes(graph: DataFrame, gone: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    """The graph without the edges at the nodes (node), or at those of which a condition holds."""
+    if callable(gone):
+        return remove_edges(graph, gone(F.col("src")) | gone(F.col("dst")))
     g = gone.select(F.col("node").alias("g")).distinct()
     return graph.join(g, F.col("src") == F.col("g"), "left_anti").join(g, F.col("dst") == F.col("g"), "left_anti")
 
