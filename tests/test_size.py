@@ -51,6 +51,22 @@ def test_edges_are_removed_without_a_table_of_them(spark, letters):
     assert sorted(by_table.collect()) == sorted(by_condition.collect()) and by_table.count() == 1
 
 
+def test_index_travels_in_runs_of_windows(spark, letters):
+    out = queries.w01_kmer_index(spark, letters)
+    assert shuffled(spark, lambda: out.write.format("noop").mode("overwrite").save()) < 5 * BASES
+
+
+@pytest.mark.parametrize("duplicates", ["drop", "first"])
+def test_index_is_the_same_by_runs_and_by_strings(spark, duplicates):
+    rng = random.Random(2)
+    seqs = ["".join(rng.choices("ACGT", weights=(4, 1, 1, 1), k=rng.randint(0, 90))) for _ in range(60)] + ["ACGNACGTTacgtACGT", "A" * 80]
+    contigs = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(seqs)], "contig_id long, seq string, len long")
+    members = contigs.select(F.floor(F.col("contig_id") / 3).alias("component_id"), (F.col("contig_id") % 3).alias("ord"), "contig_id", F.lit(4).cast("long").alias("gap_after"))
+    for k in (4, 9):
+        want = sorted(r for r in L.kmer_index(members, contigs, k, 20, 15, duplicates, "keep").collect() if not set(r.kmer) - set("ACGT"))
+        assert want and sorted(L.kmer_index(members, contigs, k, 20, 15, duplicates).collect()) == want
+
+
 def test_runs_of_windows_give_all_windows():
     rng = np.random.default_rng(3)
     for k in (1, 4, 13, 14, 25, 31):
