@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.seq import overlap
+from strandweave.operators.groups import per_group
 from strandweave.plans.staging import stage
 
 
-def adjacent(members: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(scaffold_id, ord, left, right, gap, left_seq, right_seq): neighbours in each scaffold."""
+def ends(contigs: DataFrame, k: int) -> DataFrame:
+    """(contig_id, first, last, letters): the first and the last k letters and the length, all that searches and classes need. Such a table stays as it is."""
+    if "first" in contigs.columns:
+        return contigs
+    return contigs.select("contig_id", F.substring("seq", F.lit(1), F.lit(k)).alias("first"), F.right("seq", F.lit(k)).alias("last"), F.length("seq").cast("long").alias("letters"))
+
+
+def adjacent(members: DataFrame, contigs: DataFrame, k: int | None = None) -> DataFrame:
+    """(scaffold_id, ord, left, right, gap, left_seq, right_seq): neighbours in each scaffold. With k, the last k letters of the left one and the first k of the right one only."""
     w = Window.partitionBy("component_id").orderBy("ord")
     rows = members.select(F.col("component_id").alias("scaffold_id"), "ord", F.lag("contig_id").over(w).alias("left"), F.col("contig_id").alias("right"), F.lag("gap_after").over(w).alias("gap")).where("left is not null")
-    a = contigs.select(F.col("contig_id").alias("ca"), F.col("seq").alias("left_seq"))
-    b = contigs.select(F.col("contig_id").alias("cb"), F.col("seq").alias("right_seq"))
+    sides = contigs.select("contig_id", F.col("seq").alias("first"), F.col("seq").alias("last")) if k is None else ends(contigs, k)
+    a = sides.select(F.col("contig_id").alias("ca"), F.col("last").alias("left_seq"))
+    b = sides.select(F.col("contig_id").alias("cb"), F.col("first").alias("right_seq"))
     return rows.join(a, F.col("left") == F.col("ca")).join(b, F.col("right") == F.col("cb")).drop("ca", "cb")
 
 
@@ -29,33 +37,33 @@ def classify(pairs: DataFrame, k: int, least_overlap: int, insert: int, delta: f
 
 def joints(contigs: DataFrame, k: int) -> DataFrame:
     """(contig_id, begin, end, more): the first and the last k - 1 letters, and how many letters follow the first ones. Contigs shorter than k join nothing."""
-    whole = contigs.where(F.length("seq") >= k)
-    return whole.select("contig_id", F.substring("seq", F.lit(1), F.lit(k - 1)).alias("begin"), F.right("seq", F.lit(k - 1)).alias("end"), (F.length("seq") - (k - 1)).cast("long").alias("more"))
+    whole = ends(contigs, k).where(F.col("letters") >= k)
+    return whole.select("contig_id", F.substring("first", F.lit(1), F.lit(k - 1)).alias("begin"), F.right("last", F.lit(k - 1)).alias("end"), (F.col("letters") - (k - 1)).cast("long").alias("more"))
 
 
 def search_paths(gaps: DataFrame, contigs: DataFrame, k: int, insert: int, delta: float) -> DataFrame:
     """(scaffold_id, ord, path, length): for each gap the path from left to right whose length is nearest to the gap.
 
     All gaps advance one contig per round, at most insert + 3 delta rounds. A path is given up when it is longer than the gap allows. Paths of a gap
-    that are at one contig with one length have the same future, so only the first in order of the ids goes on: a gap has at most as many
-    open paths as contigs times lengths, repeats included, and none has to be left out. Of equal errors the path of fewer contigs wins, then the smaller ids. The
+    that end in the same letters with one length have the same future, so only the first in order of the ids goes on: a gap has at most as many
+    open paths as ends times lengths, copies included, and none has to be left out. Of equal errors the path of fewer contigs wins, then the smaller ids. The
     length counts letters between the two contigs.
     """
     allowed = (k - 1) + 3 * delta + 30
-    ends = stage(joints(contigs, k), "joints")
-    tail, head = ends.select(F.col("contig_id").alias("a"), "end"), ends.select(F.col("contig_id").alias("b"), "begin", "more")
-    open_paths = gaps.select("scaffold_id", "ord", F.col("left").alias("from"), "right", "gap", F.array("left").alias("path"), F.col("left").alias("at"), F.lit(-(k - 1)).cast("long").alias("length"))
-    open_paths = stage(open_paths, "paths")
+    joined = stage(joints(contigs, k), "joints")
+    steps = stage(joined.groupBy("begin", "end", "more").agg(F.min("contig_id").alias("b")).withColumnRenamed("end", "next"), "steps")  # copies have the same future, and the smallest id wins
+    left, right = joined.select(F.col("contig_id").alias("a"), "end"), joined.select(F.col("contig_id").alias("z"), F.col("begin").alias("goal"))
+    state = ("scaffold_id", "ord", "from", "right", "gap", "goal", "end", "length")
+    open_paths = gaps.select("scaffold_id", "ord", F.col("left").alias("from"), "right", "gap", F.array("left").alias("path"), F.lit(-(k - 1)).cast("long").alias("length"))
+    open_paths = stage(open_paths.join(left, F.col("from") == F.col("a")).join(right, F.col("right") == F.col("z")).select(*state, "path"), "paths")
     none = gaps.select("scaffold_id", "ord", F.array("left").alias("path"), F.lit(0).cast("long").alias("length")).limit(0)
     found = None
     for _ in range(int(insert + 3 * delta)):
-        step = open_paths.join(tail, F.col("at") == F.col("a")).join(head, F.col("end") == F.col("begin"))
-        step = step.select("scaffold_id", "ord", "from", "right", "gap", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"), F.col("length").alias("inner"), (F.col("length") + F.col("more")).alias("length"))
-        state = ("scaffold_id", "ord", "from", "right", "gap", "at", "length")
-        step = stage(step.groupBy(*state).agg(F.min("path").alias("path"), F.min("inner").alias("inner")), "paths")
-        hit = step.where("at = right").select("scaffold_id", "ord", "path", F.col("inner").alias("length"), F.abs(F.col("inner") - F.col("gap")).alias("error"))
+        hit = open_paths.where("end = goal").select("scaffold_id", "ord", F.concat("path", F.array("right")).alias("path"), "length", F.abs(F.col("length") - F.col("gap")).alias("error"))
         found = hit if found is None else found.unionByName(hit)
-        open_paths = step.where(F.col("length") <= F.col("gap") + allowed - (k - 1)).drop("inner")
+        step = open_paths.join(steps, F.col("end") == F.col("begin")).select(*state[:6], F.col("next").alias("end"), (F.col("length") + F.col("more")).alias("length"), F.concat("path", F.array("b")).alias("path"))
+        step = step.where(F.col("length") <= F.col("gap") + allowed - (k - 1))
+        open_paths = stage(step.groupBy(*state).agg(F.min("path").alias("path")), "paths")
         if open_paths.isEmpty():
             break
     if found is None:
@@ -70,10 +78,12 @@ def search_wider(gaps: DataFrame, contigs: DataFrame, wider: DataFrame, k: int,
     A path starts with a sequence that ends in the last k letters of the contig before the gap and leads to one that begins with the first
     k letters of the contig after it.
     """
-    sides = contigs.where(F.length("seq") >= k).select("contig_id", F.right("seq", F.lit(k)).alias("last"), F.substring("seq", F.lit(1), F.lit(k)).alias("first"))
-    whole = wider.where(F.length("seq") >= k)
-    starts = whole.select(F.col("contig_id").alias("m"), F.right("seq", F.lit(k)).alias("m_end"))
-    goals = whole.select(F.col("contig_id").alias("g"), F.substring("seq", F.lit(1), F.lit(k)).alias("g_begin"))
+    sides = ends(contigs, k).where(F.col("letters") >= k)
+    wider = ends(wider, k)
+    whole = wider.where(F.col("letters") >= k)
+    # those that end or begin alike are reached alike, and the smallest id wins
+    starts = whole.groupBy(F.col("last").alias("m_end")).agg(F.min("contig_id").alias("m"))
+    goals = whole.groupBy(F.col("first").alias("g_begin")).agg(F.min("contig_id").alias("g"))
     rows = gaps.join(sides.select(F.col("contig_id").alias("l"), "last"), F.col("left") == F.col("l")).join(sides.select(F.col("contig_id").alias("r"), "first"), F.col("right") == F.col("r"))
     rows = rows.join(starts, F.col("last") == F.col("m_end")).join(goals, F.col("first") == F.col("g_begin"))
     return search_paths(rows.select("scaffold_id", "ord", F.col("m").alias("left"), F.col("g").alias("right"), "gap"), wider, k, insert, delta)
@@ -146,10 +156,10 @@ def scaffold_sequences(members: DataFrame, contigs: DataFrame, gaps: DataFrame,
     rows = rows.join(gaps.select(F.col("scaffold_id").alias("gs"), F.col("ord").alias("go"), "gap"), (F.col("scaffold_id") == F.col("gs")) & (F.col("ord") == F.col("go")), "left")
     rows = rows.join(filled, (F.col("scaffold_id") == F.col("fs")) & (F.col("ord") == F.col("fo")), "left").select("scaffold_id", "ord", "seq", "gap", "filling")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        parts = [(s, 0 if pd.isna(g) else int(g), f if isinstance(f, str) else None) for s, g, f in pdf[["seq", "gap", "filling"]].itertuples(index=False)]
-        seqs = fold(parts, k, insert, delta)
-        return pd.DataFrame({"scaffold_id": pdf.scaffold_id.iloc[0], "part": range(len(seqs)), "len": [len(s) for s in seqs], "seq": seqs})
+    def run(found: list[tuple]) -> list[tuple]:
+        found = sorted(found, key=lambda r: r[1])
+        seqs = fold([(s, gap or 0, filling) for _, _, s, gap, filling in found], k, insert, delta)
+        return [(found[0][0], i, len(s), s) for i, s in enumerate(seqs)]
 
-    return rows.groupBy("scaffold_id").applyInPandas(run, "scaffold_id long, part long, len long, seq string")
+    rows = rows.select(F.col("scaffold_id").alias("key"), "scaffold_id", "ord", "seq", F.col("gap").cast("long"), "filling")
+    return per_group(rows, "key", run, "scaffold_id long, part long, len long, seq string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandweave import file_queries, queries
 from strandweave.operators import debruijn as G
+from strandweave.operators import gapfill as E
 from strandweave.operators import kmers as K
 from strandweave.operators import links as L
 from strandweave.operators import superkmers as S
@@ -140,3 +141,26 @@ def test_windows_of_small_alphabets_are_found_where_they_are_alone(k):
 @pytest.mark.parametrize("query", [queries.j02_links, queries.a10_trimmed_mean, queries.p10_supported_links, queries.a08_mean_samples, queries.j01_insert_samples, queries.a06_insert_size, queries.g12_prune, queries.l01_positions, queries.c01_linearize, file_queries.a11_repeat_votes, file_queries.j07_without_repeats, file_queries.a15_same_component_reads])
 def test_links_are_found_without_a_row_for_each_window(spark, letters, query):
     assert shuffled(spark, lambda: query(spark, letters).write.format("noop").mode("overwrite").save()) < 6 * BASES
+
+
+def test_copies_do_not_multiply_paths(spark):
+    """60 copies of two contigs with a gap between them: as many paths as gaps, and the smallest ids among equal ones."""
+    rng = random.Random(5)
+    a, b = ("".join(rng.choices("ACGT", k=60)) for _ in range(2))
+    bridge = a[-20:] + b[:20]
+    contigs = spark.createDataFrame([(2 * i + j, s, 60) for i in range(60) for j, s in enumerate((a, b))], "contig_id long, seq string, len long")
+    wider = contigs.select("contig_id", "seq").unionByName(spark.createDataFrame([(-i - 1, bridge) for i in range(60)], "contig_id long, seq string"))
+    gaps = spark.createDataFrame([(i, 1, 2 * i, 2 * i + 1, 5, "search") for i in range(60)], "scaffold_id long, ord long, left long, right long, gap long, kind string")
+    out = []
+    assert shuffled(spark, lambda: out.extend(E.fill(gaps, contigs, 21, 200, 10.0, wider).collect())) < 300_000
+    assert len(out) == 60 and {(r.graph, tuple(r.path), r.length) for r in out} == {(1, (0, -60, 1), 0)}
+
+
+def test_small_groups_are_folded_without_a_frame_each(spark):
+    members = spark.range(20_000).select((F.col("id") / 2).cast("long").alias("component_id"), (F.col("id") % 2).alias("ord"), F.col("id").alias("contig_id"), F.lit(5).cast("long").alias("gap_after"))
+    contigs = spark.range(20_000).select(F.col("id").alias("contig_id"), F.concat(F.lit("ACGT"), F.lpad(F.translate(F.col("id").cast("string"), "0123456789", "ACGTACGTAC"), 26, "T")).alias("seq"))
+    gaps = members.where("ord = 1").select(F.col("component_id").alias("scaffold_id"), "ord", F.lit(3).cast("long").alias("gap"))
+    paths = spark.createDataFrame([], "scaffold_id long, ord long, graph int, path array<long>, length long")
+    out = E.scaffold_sequences(members, contigs, gaps, paths, 21, 200, 10.0)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert out.count() == 10_000 and out.where("len <> 63 or substr(seq, 31, 3) <> 'NNN'").count() == 0
