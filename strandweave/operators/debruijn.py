@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.plans.staging import Rounds, cut
+from strandweave.plans.staging import Rounds, cut, stage
 
 
 def edges(counts: DataFrame) -> DataFrame:
@@ -105,7 +105,12 @@ def condensed(graph: DataFrame) -> DataFrame:
 
     Numbers run over the unitigs, which are a small part of the k-mers.
     """
-    units = cut(contract(graph))
+    return named_units(contract(graph))
+
+
+def named_units(units: DataFrame) -> DataFrame:
+    """As ``condensed``, of unitigs."""
+    units = stage(units, "unitigs")
     names = units.select(F.explode(F.array("src_node", "dst_node")).alias("node")).distinct()
     ids = numbered(names, ["node"], "id")
     a, b = ids.select(F.col("node").alias("na"), F.col("id").alias("src_id")), ids.select(F.col("node").alias("nb"), F.col("id").alias("dst_id"))

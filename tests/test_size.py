@@ -13,6 +13,7 @@ from strandweave.operators import kmers as K
 from strandweave.operators import links as L
 from strandweave.operators import superkmers as S
 from strandweave.operators import tiles as X
+from strandweave.operators import unitigs as U
 from strandweave.plans import dna as D
 
 
@@ -164,3 +165,18 @@ def test_small_groups_are_folded_without_a_frame_each(spark):
     out = E.scaffold_sequences(members, contigs, gaps, paths, 21, 200, 10.0)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
     assert out.count() == 10_000 and out.where("len <> 63 or substr(seq, 31, 3) <> 'NNN'").count() == 0
+
+
+@pytest.mark.parametrize("k", [5, 7, 15, 31])
+def test_unitigs_of_buckets_are_those_of_the_whole_graph(spark, k):
+    rng = random.Random(k)
+    genome = "".join(rng.choices("ACGT", k={5: 60, 7: 400}.get(k, 3000)))
+    seqs = [genome[i : i + 3 * k + rng.randint(0, 40)] for i in range(0, len(genome) - k, k)] + ["A" * 90, "ACGTTGCAGG" * 12, "", "N" * 50, None]
+    reads = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    want = G.contract(G.edges(K.count_kmers(reads, k, least=2)))
+    rows = [sorted((r.head, r.src_node, r.dst_node, r.seq, round(r.coverage, 9), r.n_edges) for r in x.collect()) for x in (want, U.chains(reads, k))]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_unitigs_leave_no_table_of_edges(spark, letters):
+    assert shuffled(spark, lambda: queries.g06_condensed(spark, letters).write.format("noop").mode("overwrite").save()) < 5 * BASES
