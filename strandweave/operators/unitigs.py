@@ -43,56 +43,67 @@ def _sent(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(lean(run), SENT)
 
 
-def bucket_edges(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
-    """(edge, weight, src_here, dst_here) of both strands, in order of the edges: whether the nodes belong to this bucket."""
+def bucket_edges(blobs: list[bytes], k: int, least: int = 1) -> tuple[np.ndarray, ...]:
+    """(edge, weight, src_here, dst_here) of both strands, in order of the edges, of those with a weight of at least ``least``: whether the nodes belong to this bucket."""
     numbers, n, (before, after) = opened(blobs, k)
     j, many = places(n), np.repeat(n, n)
     src, dst = (j > 0) | (np.repeat(before, n) == 0), (j < many - 1) | (np.repeat(after, n) == 0)
     rc = reversed_complement(numbers, k)
     turned = rc < numbers
-    canon = np.where(turned, rc, numbers)
-    # of the other strand, the nodes change places
-    a, b = np.where(turned, dst, src), np.where(turned, src, dst)
-    order = np.argsort(canon)
-    canon = canon[order]
-    first = np.flatnonzero(np.concatenate(([True], canon[1:] != canon[:-1])))
-    canon, a, b, weight = canon[first], a[order[first]], b[order[first]], np.diff(np.append(first, len(canon)))
-    other = reversed_complement(canon, k)
-    twice = other != canon
-    edge = np.concatenate((canon, other[twice]))
+    # of the other strand, the nodes change places; equal edges of a bucket have the same two bits
+    keys = (np.where(turned, rc, numbers) << _U(2)) | (np.where(turned, dst, src).astype(_U) << _U(1)) | np.where(turned, src, dst).astype(_U)
+    del numbers, j, many, src, dst, rc, turned
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    keys, weight = keys[first], np.diff(np.append(first, len(keys)))
+    canon = keys >> _U(2)
+    twice = reversed_complement(canon, k) != canon
+    weight = weight * np.where(twice, 1, 2)
+    kept = weight >= least
+    keys, canon, weight, twice = keys[kept], canon[kept], weight[kept], twice[kept]
+    a, b = (keys & _U(2)) > 0, (keys & _U(1)) > 0
+    edge = np.concatenate((canon, reversed_complement(canon[twice], k)))
     order = np.argsort(edge)
-    return edge[order], np.concatenate((weight * np.where(twice, 1, 2), weight[twice]))[order], np.concatenate((a, b[twice]))[order], np.concatenate((b, a[twice]))[order]
+    return edge[order], np.concatenate((weight, weight[twice]))[order], np.concatenate((a, b[twice]))[order], np.concatenate((b, a[twice]))[order]
 
 
-def _degree(nodes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    ends = np.sort(ends)
-    return np.searchsorted(ends, nodes, "right") - np.searchsorted(ends, nodes, "left")
+def _alone(nodes: np.ndarray) -> np.ndarray:
+    """Of nodes in order, whether each is there once."""
+    new = np.concatenate(([True], nodes[1:] != nodes[:-1], [True]))
+    return new[:-1][: len(nodes)] & new[1:][: len(nodes)]
 
 
-def bucket_pieces(edge: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """(last, up, n, w, seq, src): pieces of chains in the bucket. ``up`` is the edge of another bucket with which a piece goes on, null where a chain starts; seq has the last letters of its own edges."""
+def bucket_chains(edge: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head, rank, last) of the edges of a bucket: the place of the edge with which each one's piece of a chain begins, or -1 on a cycle, how far it is from there, and whether the piece ends with it."""
     src, dst = edge >> _U(2), edge & _U((1 << 2 * (k - 1)) - 1)
-    out_ends, in_ends = src[a], dst[b]
-    through = b & (_degree(dst, in_ends) == 1) & (_degree(dst, out_ends) == 1)
-    at = np.flatnonzero(through)
-    held = np.flatnonzero(a)
-    after = held[np.searchsorted(src[held], dst[at])]  # src is in order, as edges are
-    up = np.full(len(edge), -1, np.int64)
-    up[after] = at
+    out, in_ = np.flatnonzero(a), np.flatnonzero(b)  # src is in order, as edges are
+    in_ = in_[np.argsort(dst[in_])]
+    out, in_ = out[_alone(src[out])], in_[_alone(dst[in_])]
+    up, last = np.full(len(edge), -1, np.int64), np.ones(len(edge), bool)
+    if len(out):
+        to = np.minimum(np.searchsorted(src[out], dst[in_]), len(out) - 1)
+        met = src[out[to]] == dst[in_]
+        up[out[to[met]]] = in_[met]
+        last[in_[met]] = False
     head, rank = np.where(up < 0, np.arange(len(edge)), -1), (up >= 0).astype(np.int64)
-    jump = up.copy()
-    while True:
-        open_ = np.flatnonzero((head < 0) & (jump >= 0))
-        if not len(open_):
-            break
-        j = jump[open_]
-        found = head[j]
-        step_rank, step = rank[j].copy(), jump[j].copy()
+    open_ = np.flatnonzero(up >= 0)
+    while len(open_):
+        j = up[open_]
+        found, step_rank, step = head[j], rank[j], up[j]
         head[open_] = found
-        rank[open_] += np.where(found >= 0, step_rank, step_rank)
-        jump[open_] = np.where(found >= 0, -1, step)
-        if (rank[open_] > 2 * len(edge)).any() and not (found >= 0).any():
+        rank[open_] += step_rank
+        up[open_] = np.where(found >= 0, -1, step)
+        left = found < 0
+        if left.all() and (rank[open_] > 2 * len(edge)).any():
             break  # what is left are cycles
+        open_ = open_[left]
+    return head, rank, last
+
+
+def bucket_pieces(edge: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(last, up, n, w, seq, src): pieces of chains in the bucket. ``up`` is the edge of another bucket with which a piece goes on, null where a chain starts; seq has the last letters of its own edges."""
+    src, dst = edge >> _U(2), edge & _U((1 << 2 * (k - 1)) - 1)
+    head, rank, _ = bucket_chains(edge, a, b, k)
     kept = np.flatnonzero(head >= 0)
     kept = kept[np.lexsort((rank[kept], head[kept]))]
     own = a[kept]
@@ -117,9 +128,7 @@ def chains(reads: DataFrame, k: int, least: int = 2) -> DataFrame:
     """(head, src_node, dst_node, seq, coverage, n_edges), as from ``debruijn.contract``, of the graph of the k-mers of (seq) on both strands with a count of at least ``least``. k is odd, and 31 at most."""
 
     def work(blobs):
-        edge, weight, a, b = bucket_edges(blobs, k)
-        kept = weight >= least
-        yield from bucket_pieces(edge[kept], weight[kept], a[kept], b[kept], k)
+        yield from bucket_pieces(*bucket_edges(blobs, k, least), k)
 
     rounds = Rounds(reads.sparkSession, "pieces")
     pieces = Rounds(reads.sparkSession, "units").put(meet(_sent(reads.select("seq"), k), work, "last long, up long, n long, w long, seq string, src long, dst long"))

@@ -14,6 +14,7 @@ from strandweave.operators import links as L
 from strandweave.operators import rescue as R
 from strandweave.operators import superkmers as S
 from strandweave.operators import tiles as X
+from strandweave.operators import trimming as Y
 from strandweave.operators import unitigs as U
 from strandweave.plans import dna as D
 
@@ -203,6 +204,26 @@ def test_rescue_leaves_no_table_of_edges(spark, letters):
     assert shuffled(spark, lambda: queries.g02_singleton_rescue(spark, letters).write.format("noop").mode("overwrite").save()) < 4 * BASES
 
 
+@pytest.mark.parametrize(("k", "loops"), [(5, 1), (5, 2), (7, 2), (15, 3), (31, 1), (31, 2)])
+def test_chains_trimmed_in_buckets_are_those_of_the_whole_graph(spark, k, loops):
+    rng = random.Random(k)
+    genome = "".join(rng.choices("ACGT", k={5: 60, 7: 300}.get(k, 4000)))
+    seqs = [genome[i : i + 3 * k + rng.randint(0, 40)] for i in range(0, len(genome) - k, max(1, k // 4))]
+    # reads with another letter near an end or inside: tips and weak chains beside strong ones, which join when these go
+    for i in range(0, len(genome) - 4 * k, 3 * k):
+        at = rng.randint(1, 3 * k)
+        seqs += [genome[i : i + at] + "ACGT"["ACGT".index(genome[i + at]) - 1] + genome[i + at + 1 : i + 4 * k]] * rng.randint(2, 9)
+    reads = spark.createDataFrame([(s,) for s in [*seqs, "A" * 90, "ACGTTGCAGG" * 12, "", "N" * 50, None]], "seq string")
+    counts = K.count_kmers(reads, k)
+    graph = G.edges(K.frequent(counts))
+    want, got = (sorted(map(tuple, x.select("src", "dst", "base", "weight").collect())) for x in (G.trim(graph, K.kmer_stats(counts).first()["mean"], loops), Y.trimmed_edges(reads, k, loops=loops)))
+    assert got == want and (k < 15 or 0 < len(got) < graph.count())
+
+
+def test_trimming_leaves_no_table_of_edges(spark, letters):
+    assert shuffled(spark, lambda: queries.g04_trim(spark, letters).write.format("noop").mode("overwrite").save()) < 8 * BASES
+
+
 def test_good_windows_are_counted_as_they_are_listed(spark):
     rng = random.Random(6)
     rows = [("".join(rng.choices("ACGTNa", weights=(9, 9, 9, 9, 1, 1), k=n)), "".join(chr(rng.randint(40, 73)) for _ in range(n + extra))) for n, extra in ((0, 0), (4, 0), (80, 0), (80, 3), (80, -1), (200, 0))]
