@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from strandweave.llm.frames import lean
 
 BLOBS = "bucket int, blob binary"
-PIECE = 500_000
+PIECE = 250_000
 _U = np.uint64
 _ARROW = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -65,7 +65,7 @@ def blobs(key: np.ndarray, columns: list[np.ndarray], buckets: int, owner: np.nd
     full = np.flatnonzero(np.diff(bounds))
     sorted_columns = [key.view(np.int64), *(c[order] for c in columns)]
     owner = owner[order] if owner is not None else None
-    step = 64
+    step = 16
     for a in range(0, len(full), step):
         some, packed = full[a : a + step], []
         for b in some:
@@ -100,9 +100,13 @@ def opened(blob: bytes) -> list[np.ndarray]:
 def pieces(blobs: list[bytes], limit: int = PIECE, tags: list[int] | None = None) -> Iterator[list[np.ndarray]]:
     """The columns of the blobs of a range together, those of tables last, in pieces of about ``limit`` rows; equal keys are in one piece.
 
-    With ``tags``, a number for each blob, a last column has that of each row. Rows wait as they are in the blobs, so beyond these only a piece takes memory.
+    With ``tags``, a number for each blob, a last column has that of each row. The blobs are taken out of their list as they are opened, and rows wait as they
+    are in there, so beyond these only a piece takes memory.
     """
-    held = [parts(b) for b in blobs]
+    held = []
+    for i in range(len(blobs)):
+        held.append(parts(blobs[i]))
+        blobs[i] = None
     keys = [c[0].view(_U) for c, _ in held]
     k = -(-sum(map(len, keys)) // limit)
     some = np.sort(np.concatenate([x[::64] for x in keys]))

@@ -43,7 +43,7 @@ VOCABULARY = 60_000
 CUT = 5
 LARGE = 0.05
 STRETCH = 1_000_000
-PIECE = 400_000
+PIECE = 250_000
 SHARED = 400_000  # tokens of a stretch of documents whose pairs are dealt together
 END, RARE, START, WORDS = 0, 1, 2, 3
 END_HASH = 0x2545F4914F6CDD1D
@@ -350,7 +350,7 @@ def _shares(docs: DataFrame, model: Unigrams) -> DataFrame:
             for kind in (1, 2, 3):
                 if not held[kind]:
                     continue
-                blobs, stretches = zip(*held[kind], strict=True)
+                blobs, stretches = map(list, zip(*held[kind], strict=True))
                 held[kind] = []
                 for key, *columns in X.pieces(blobs, PIECE, stretches):
                     key = key.view(_U)

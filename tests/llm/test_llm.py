@@ -1,13 +1,14 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from strandweave.llm import gif, jaccard, katz, language, mergedrop, packing, quality, substrings, tokencount, warc
-from strandweave.llm.textscan import Scan
+from strandweave.llm import exchange, gif, jaccard, katz, language, mergedrop, packing, quality, substrings, tokencount, warc
+from strandweave.llm.textscan import Scan, slices, text_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, uid long, row string, n_words long"
 
@@ -311,3 +312,39 @@ def test_warc_splits(spark, tmp_path):
         assert {i: r.payload_digest for i, r in got.items()} == want
         assert (got[1].record_type, got[1].refers_to, got[3].refers_to, got[2].record_type) == ("revisit", 0, 2, "response")
     assert warc.write(pages.limit(0), str(tmp_path / "none")) == []
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_a_slice_of_text_takes_little_memory():
+    rng = random.Random(3)
+    texts = [" ".join("w%d" % rng.randint(0, 5000) for _ in range(400)) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+
+    def scan(work, *limit):
+        for b in slices([batch], "text", *limit):
+            work(text_of(b, "text"))
+
+    assert sum(b.num_rows for b in slices([batch], "text")) == len(texts)
+    assert peak_mb(lambda: scan(lambda x: jaccard.shingle_sets(Scan(x, lower=True), 5))) < 40
+    assert peak_mb(lambda: scan(quality.text_stats)) < 40
+
+
+def test_pieces_of_a_range_let_go_of_its_blobs():
+    rng = np.random.default_rng(4)
+    made = [(np.sort(rng.integers(0, 3000, 1000)).astype(np.uint64), rng.integers(0, 9, 1000).astype(np.int32)) for _ in range(8)]
+    blobs = [b for key, x in made for batch in exchange.blobs(key, [x], 1) for b in batch.column(1).to_pylist()]
+    found = []
+    for columns in exchange.pieces(blobs, 500, list(range(8))):
+        assert not any(isinstance(b, bytes) for b in blobs)
+        found.append(columns)
+    keys = [c[0] for c in found]
+    assert len(found) > 8 and all(set(a).isdisjoint(b) for a, b in zip(keys, keys[1:]))
+    got = sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found))))
+    assert got == sorted((int(k), int(v), i) for i, (key, x) in enumerate(made) for k, v in zip(key, x))
