@@ -30,7 +30,8 @@ from strandweave.llm.textscan import Scan, mix, slices, text_of
 
 FIT_ROWS = 4_000
 FIT_BYTES = 128 << 20
-ROWS = 1024  # counted at a time, of 32 KB each
+ROWS = 256  # counted at a time, of 32 KB each
+SLICE = 1 << 17
 FEATURES = 1 << 13
 LENGTHS = (1, 2, 3, 4)
 SMOOTH = 0.5
@@ -116,7 +117,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     place = {x: i for i, x in enumerate(languages)}
     y = np.array([place[x] for x in langs], int)
     totals = np.zeros((len(languages), FEATURES))
-    step = 256
+    step = 64
     for at in range(0, len(texts), step):
         counts = ngram_counts(Scan(pa.array(texts[at : at + step], pa.string()), lower=True))
         np.add.at(totals, y[at : at + step], np.sqrt(counts))
@@ -171,7 +172,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     def run(batches):
         m = at.value
         names = np.array([*m.languages, "und"], object)
-        for batch in (b.slice(i, ROWS) for b in slices(batches, "__text", 1 << 20) for i in range(0, b.num_rows, ROWS)):
+        for batch in (b.slice(i, ROWS) for b in slices(batches, "__text", SLICE) for i in range(0, b.num_rows, ROWS)):
             texts = text_of(batch, "__text")
             place, score, unsure = m.predict(ngram_counts(Scan(texts, lower=True)))
             none = np.array([not _LETTER.search(x) for x in texts.to_pylist()], bool)

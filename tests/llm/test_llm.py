@@ -326,6 +326,7 @@ def test_a_slice_of_text_takes_little_memory():
     rng = random.Random(3)
     texts = [" ".join("w%d" % rng.randint(0, 5000) for _ in range(400)) for _ in range(2000)]
     batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    model = language.fit(texts[:40], ["en", "de"] * 20)
 
     def scan(work, *limit):
         for b in slices([batch], "text", *limit):
@@ -334,6 +335,7 @@ def test_a_slice_of_text_takes_little_memory():
     assert sum(b.num_rows for b in slices([batch], "text")) == len(texts)
     assert peak_mb(lambda: scan(lambda x: jaccard.shingle_sets(Scan(x, lower=True), 5))) < 40
     assert peak_mb(lambda: scan(quality.text_stats)) < 40
+    assert peak_mb(lambda: scan(lambda x: [model.predict(language.ngram_counts(Scan(x.slice(i, language.ROWS), lower=True))) for i in range(0, len(x), language.ROWS)], language.SLICE)) < 40
 
 
 def test_pieces_of_a_range_let_go_of_its_blobs():
