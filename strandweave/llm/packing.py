@@ -41,7 +41,7 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_PARTS = 300_000
 CACHE_WHOLE = 50_000
-SLICE = 1 << 20
+SLICE = 2 << 20
 JOINED = 64
 _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 _LATER = re.compile("[^\0-\u024f]")
