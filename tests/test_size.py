@@ -13,6 +13,7 @@ from strandweave.operators import gapfill as E
 from strandweave.operators import kmers as K
 from strandweave.operators import links as L
 from strandweave.operators import rescue as R
+from strandweave.operators import scaffolds
 from strandweave.operators import superkmers as S
 from strandweave.operators import tiles as X
 from strandweave.operators import trimming as Y
@@ -157,6 +158,15 @@ def test_bases_by_bytes_are_those_of_sql_functions(spark, tmp_path):
     assert "regexp_replace" not in queries._links(spark, sf)._jdf.queryExecution().toString()
 
 
+def test_components_without_links_are_not_grouped(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(scaffolds, "per_group", lambda rows, *a, f=scaffolds.per_group: asked.append(rows.count()) or f(rows, *a))
+    links = spark.createDataFrame([(1, 2, 600, 3), (2, 3, 600, 3)], "src long, dst long, distance long, score long")
+    placed = spark.range(1, 1001).select("id", ((F.col("id") - 1) * F.when(F.col("id") < 4, 600).otherwise(0)).alias("position"), F.lit(500).cast("long").alias("length"))
+    got = sorted(map(tuple, scaffolds.linearize(links, placed.unionByName(placed.where("id = 9"))).collect()))
+    assert got == [(1, 0, 1, 100), (1, 1, 2, 100), (1, 2, 3, 0), *((i, 0, i, 0) for i in range(4, 1001))] and asked == [5]
+
+
 def test_copies_do_not_multiply_paths(spark):
     """60 copies of two contigs with a gap between them: as many paths as gaps, and the smallest ids among equal ones."""
     rng = random.Random(5)
